@@ -39,7 +39,7 @@ ABSENT, BLOCKED, KEEP = "absent", "blocked", "keep"
 
 def step(state, kind: int, version, event: str, expected):
     """The state after one operation. expected: the number the record's version must equal (None: not named)."""
-    if kind == SET:
+    if kind == SET:  # only ever a record's first operation
         return (version, event)
     if state == BLOCKED:
         return BLOCKED
