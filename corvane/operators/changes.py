@@ -15,7 +15,6 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -250,10 +249,9 @@ def _pack(p: Patch) -> list[dict]:
 def _unpack(rows) -> Patch:
     p = Patch()
     for r in rows:
-        version = None if r["version"] is None or pd.isna(r["version"]) else int(r["version"])
-        o = (version, r["event_id"]) if r["status"] == "image" else r["status"]
+        o = (r["version"], r["event_id"]) if r["status"] == "image" else r["status"]
         if r["role"] == "point":
-            p.points.append((int(r["lo"]), int(r["hi"]), o))
+            p.points.append((r["lo"], r["hi"], o))
         else:
             setattr(p, r["role"], o)
     return p
@@ -298,21 +296,27 @@ def _compose_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
 
-def _compose_patches(pdf: pd.DataFrame) -> pd.DataFrame:
+def _in_order(t: pa.Table) -> Iterator[Patch]:
+    """The patches of one record, as many as its history spans ranges, in the order of the ranges."""
+    for rows in t.sort_by("part").column("patch").to_pylist():
+        yield _unpack(rows)
+
+
+def _compose_patches(t: pa.Table) -> pa.Table:
     """The patches of one record and one block of neighbouring ranges, as one patch."""
-    pdf = pdf.sort_values("part")
     p = Patch()
-    for rows in pdf["patch"]:
-        p = p.then(_unpack(rows))
-    return pd.DataFrame({"atom_id": [pdf["atom_id"].iat[0]], "part": [int(pdf["part"].iat[0])], "patch": [_pack(p)]})
+    for g in _in_order(t):
+        p = p.then(g)
+    rows = [{"atom_id": t.column("atom_id")[0].as_py(), "part": min(t.column("part").to_pylist()), "patch": _pack(p)}]
+    return pa.Table.from_pylist(rows, schema=pa.schema([_ARROW.field(c) for c in ("atom_id", "part", "patch")]))
 
 
-def _apply_patches(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf, state = pdf.sort_values("part"), ABSENT
-    for rows in pdf["patch"]:
-        state = _unpack(rows)(state)
-    image = isinstance(state, tuple)
-    return pd.DataFrame({"atom_id": [pdf["atom_id"].iat[0]] * image, "version": pd.array([state[0]] * image if image else [], dtype="Int64"), "event_id": [state[1]] * image if image else []})
+def _apply_patches(t: pa.Table) -> pa.Table:
+    state = ABSENT
+    for g in _in_order(t):
+        state = g(state)
+    rows = [{"atom_id": t.column("atom_id")[0].as_py(), "version": state[0], "event_id": state[1]}] if isinstance(state, tuple) else []
+    return pa.Table.from_pylist(rows, schema=pa.schema([_ARROW.field(c) for c in ("atom_id", "version", "event_id")]))
 
 
 def apply_changes(journal: DataFrame, base: DataFrame | None = None, fan_in: int = 32) -> DataFrame:
@@ -336,6 +340,6 @@ def apply_changes(journal: DataFrame, base: DataFrame | None = None, fan_in: int
     settled = states.where(F.col("whole") & (F.col("status") == 1)).select("atom_id", "version", "event_id")
     edges = states.where(~F.col("whole")).select("atom_id", "part", "patch")
     patch_t = _STATE.split("patch ")[1]
-    tree = edges.withColumn("node", F.floor(F.col("part") / fan_in)).groupBy("atom_id", "node").applyInPandas(_compose_patches, f"atom_id string, part int, patch {patch_t}")
-    spanning = tree.groupBy("atom_id").applyInPandas(_apply_patches, "atom_id string, version bigint, event_id string")
+    tree = edges.withColumn("node", F.floor(F.col("part") / fan_in)).groupBy("atom_id", "node").applyInArrow(_compose_patches, f"atom_id string, part int, patch {patch_t}")
+    spanning = tree.groupBy("atom_id").applyInArrow(_apply_patches, "atom_id string, version bigint, event_id string")
     return settled.unionByName(spanning)
