@@ -5,10 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import lookalike, packing, tokenizer
+from corvane.llm import conversations, lookalike, neighbours, packing, survivors, tokenizer
 from corvane.sources import table
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.usable_vectors(table(spark, d, "token_latent_vectors"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(_vectors(spark, d))
+
+
+def p3_top5(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(_vectors(spark, d)).select("token", "rank", "other", F.round("sim", 6).alias("sim"))
+
+
+def _fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return survivors.fuse(table(spark, d, "atoms"), table(spark, d, "placeholder_terms"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _fused(spark, d)[0].select("dedupe_key", "field_name", "atom_id")
+
+
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    return _fused(spark, d)[1].withColumn("p_true", F.round("p_true", 6))
+
+
+def _conversations(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.rebuild(table(spark, d, "interaction_event"), table(spark, d, "role_aliases"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _conversations(spark, d).select("conversation_id", "turn", "event_ref")
+
+
+def p6_conversations(spark: SparkSession, d: str) -> DataFrame:
+    return _conversations(spark, d)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(table(spark, d, "documents"), ["doc_id"])
 
@@ -25,6 +61,52 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+_P3 = """
+WITH last AS (
+  SELECT DISTINCT token, dimensions, vector_json FROM token_latent_vectors t
+  WHERE graph_version = (SELECT max(graph_version) FROM token_latent_vectors u WHERE u.token = t.token)),
+v AS (
+  SELECT token, TRY_CAST(vector_json AS DOUBLE[]) AS x FROM last WHERE dimensions = 64 AND TRY_CAST(vector_json AS DOUBLE[]) IS NOT NULL),
+w AS (SELECT token, list_transform(x, lambda e: coalesce(e, 0.0)) AS x FROM v WHERE len(x) = 64 AND len(list_filter(x, lambda e: e IS NOT NULL AND isfinite(e))) = 64 AND list_max(list_transform(x, lambda e: abs(e))) > 0),
+s AS (
+  SELECT a.token, b.token AS other, list_cosine_similarity(a.x, b.x) AS sim FROM w a JOIN w b ON a.token <> b.token
+  QUALIFY row_number() OVER (PARTITION BY a.token ORDER BY sim DESC, b.token) <= 5)
+SELECT DISTINCT least(token, other) AS token_a, greatest(token, other) AS token_b FROM s WHERE sim >= 0.9
+"""
+
+_P5 = """
+WITH a AS (
+  SELECT DISTINCT id, updated_at, payload::json AS j,
+    coalesce(confidence.score, CASE confidence.level WHEN 'low' THEN 0.2 WHEN 'low-medium' THEN 0.35 WHEN 'medium' THEN 0.5 WHEN 'medium-high' THEN 0.75 WHEN 'high' THEN 0.9 END, 0.5) AS conf
+  FROM (SELECT * FROM atoms WHERE NOT coalesce(deleted, false) AND json_valid(payload))),
+b AS (SELECT *, json_extract_string(j, '$.retention.deduplication_key') AS k FROM a),
+g AS (SELECT * FROM b WHERE k IN (SELECT k FROM b WHERE k IS NOT NULL GROUP BY k HAVING count(DISTINCT id) > 1)),
+f AS (SELECT *, unnest(['subject', 'predicate', 'value', 'unit', 'claim', 'note']) AS field_name FROM g),
+v AS (
+  SELECT k, id, conf, updated_at, field_name, regexp_replace(json_extract_string(j, '$.' || field_name), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS x FROM f),
+u AS (SELECT * FROM v WHERE x IS NOT NULL AND x <> '' AND lower(x) NOT IN (SELECT term FROM placeholder_terms)),
+n AS (SELECT g.k, g.id, g.conf, g.updated_at, (SELECT count(*) FROM u WHERE u.k = g.k AND u.id = g.id) AS m FROM g)
+SELECT k AS dedupe_key, field_name, id AS atom_id FROM u
+QUALIFY row_number() OVER (PARTITION BY k, field_name ORDER BY conf DESC, updated_at DESC NULLS LAST, id) = 1
+UNION ALL
+SELECT k, 'record', id FROM n
+QUALIFY row_number() OVER (PARTITION BY k ORDER BY m DESC, conf DESC, updated_at DESC NULLS LAST, id) = 1
+"""
+
+_P6 = """
+WITH r AS (
+  SELECT DISTINCT id, coalesce(conversation_id, json_extract_string(j, '$.conversation_id')) AS c, coalesce(sequence, TRY_CAST(json_extract_string(j, '$.sequence') AS bigint)) AS s,
+    j IS NOT NULL AS parsed, lower(trim(json_extract_string(j, '$.role'))) AS role, json_extract_string(j, '$.in_reply_to') AS reply, coalesce(regexp_matches(json_extract_string(j, '$.content'), '[\\p{L}\\p{N}]'), false) AS says
+  FROM (SELECT *, CASE WHEN json_valid(payload) THEN payload::json END AS j FROM interaction_event)),
+m AS (SELECT r.*, speaker_role AS who FROM r LEFT JOIN role_aliases a ON a.alias = r.role WHERE c IS NOT NULL),
+q AS (SELECT m.*, m.reply IS NULL OR t.id IS NOT NULL AS answered FROM m LEFT JOIN m t ON t.c = m.c AND t.id = m.reply AND t.s < m.s),
+k AS (
+  SELECT c FROM q GROUP BY c
+  HAVING bool_and(parsed) AND count(who) = count(*) AND count(s) = count(*) AND count(DISTINCT s) = count(*) AND min(s) = 1 AND max(s) = count(*) AND bool_and(answered)
+    AND bool_or(who = 'human' AND says) AND max(CASE WHEN who = 'agent' AND says THEN s END) > max(CASE WHEN who = 'human' THEN s END))
+SELECT c AS conversation_id, s AS turn, id AS event_ref, who AS speaker_role FROM m WHERE c IN (SELECT c FROM k)
+"""
+
+QUERIES = {"p3_found": p3_found, "p3_top5": p3_top5, "p5_found": p5_found, "p5_values": p5_values, "p6_found": p6_found, "p6_conversations": p6_conversations, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p3_found": _P3, "p5_found": _P5, "p6_found": f"SELECT conversation_id, turn, event_ref FROM ({_P6})", "p6_conversations": _P6}
