@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import problems
+from corvane.plans import problems, store
 
-_MODULES = [problems]
+_MODULES = [problems, store]
 
 
 def all_queries() -> dict:
