@@ -98,8 +98,9 @@ def tail(journal: DataFrame, after: int, limit: int) -> DataFrame:
 def page(rows: DataFrame, key: str, after: int, limit: int) -> DataFrame:
     """A cursor page: `limit` rows after the cursor and, on each, whether more follow (one row more is fetched)."""
     got = rows.where(F.col(key) > after).orderBy(key).limit(limit + 1)
-    n = F.row_number().over(W.orderBy(key))
-    return got.select("*", n.alias("n")).select(*rows.columns, F.col("n"), (F.max("n").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) > limit).alias("has_more")).where(F.col("n") <= limit).drop("n")
+    numbered = got.withColumn("__n", F.row_number().over(W.orderBy(key)))
+    all_ = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return numbered.withColumn("has_more", F.max("__n").over(all_) > limit).where(F.col("__n") <= limit).drop("__n")
 
 
 def supersession(edges: DataFrame, atoms: DataFrame) -> DataFrame:
