@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 from corvane.session import Workspace, rows_of, spread
 
 SAMPLE = 32_768  # vectors the index is fitted on, at most
-LIST_SIZE = 256  # vectors a list should stand for
+LIST_SIZE = 1024  # vectors a list should stand for
 DEGREE = 20  # neighbours of a centre in the graph
-BEAM = 24  # centres a search keeps
-COPIES = 4  # lists a boundary vector is put into, at most
+BEAM = 12  # centres a search keeps
+COPIES = 2  # lists a boundary vector is put into, at most
 CLOSURE = 1.12  # ... those whose centre is within this ratio of the nearest one's distance
-PROBE = 1.30  # lists a query reads: centres within this ratio
+READ = 6  # lists a query reads, at most
+PROBE = 1.20  # ... those whose centre is within this ratio
+READ_ANYWAY = 3  # lists a query reads whatever their distance
 ITEM_BLOCK, QUERY_BLOCK = 4096, 4096  # rows of a block
 
 
@@ -159,12 +161,15 @@ class CentreGraph:
         away = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * sims))
         there = (ids >= 0) & ~twice
         put = there & (away <= CLOSURE * away[:, :1] + 1e-6) & (np.cumsum(there, axis=1) <= COPIES)
-        ask = there & (away <= PROBE * away[:, :1] + 1e-6)
+        nth = np.cumsum(there, axis=1)
+        ask = there & (nth <= READ) & ((away <= PROBE * away[:, :1] + 1e-6) | (nth <= READ_ANYWAY))
         return ids, put, ask
 
 
 # ------------------------------------------------------------------------------------------------ search
 def _search_block(k: int, least: float, d: int):
+    """Searches one block of queries in one block of a list. Candidates are chosen in single precision, then scored in double."""
+
     def work(_key, items: pa.Table, queries: pa.Table) -> pa.Table:
         found = ([], [], [])
         if items.num_rows and queries.num_rows:
@@ -175,32 +180,36 @@ def _search_block(k: int, least: float, d: int):
             for i in range(0, len(q), 512):
                 s = q[i : i + 512] @ x.T
                 s[iq[i : i + 512, None] == ix[None, :]] = -2.0
+                n = min(k + 3, s.shape[1])
                 if least > -1.0:
-                    r, c = np.nonzero(s >= least)
-                    if len(r) > k * len(s):
-                        keep = s[r, c] >= np.partition(s, max(0, s.shape[1] - k), axis=1)[r, max(0, s.shape[1] - k)]
+                    r, c = np.nonzero(s >= least - 1e-5)
+                    if len(r) > n * len(s):
+                        edge = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+                        keep = s[r, c] >= edge[r]
                         r, c = r[keep], c[keep]
                 else:
-                    n = min(k, s.shape[1])
                     c = np.argpartition(-s, n - 1, axis=1)[:, :n].reshape(-1)
                     r = np.repeat(np.arange(len(s)), n)
                     keep = s[r, c] >= -1.5
                     r, c = r[keep], c[keep]
-                found[0].append(iq[i + r])
-                found[1].append(ix[c])
-                found[2].append(s[r, c])
+                sim = np.einsum("ij,ij->i", q[i + r].astype(np.float64), x[c].astype(np.float64))
+                keep = sim >= least
+                found[0].append(iq[i + r][keep])
+                found[1].append(ix[c][keep])
+                found[2].append(sim[keep])
         cols = [np.concatenate(f) if f else np.empty(0, dtype=t) for f, t in zip(found, (np.int64, np.int64, np.float64))]
         return pa.table({"q": pa.array(cols[0], pa.int64()), "other": pa.array(cols[1], pa.int64()), "sim": pa.array(cols[2], pa.float64())})
 
     return work
 
 
-def _blocked(rows: DataFrame, sizes: DataFrame, own: str, size: int, other: str) -> DataFrame:
-    """Each row once for every block of the other side, in a block of its own side."""
-    n_other = F.greatest(F.lit(1), F.ceil(F.col(other) / (QUERY_BLOCK if own == "items" else ITEM_BLOCK)).cast("int"))
-    n_own = F.greatest(F.lit(1), F.ceil(F.col(own) / size).cast("int"))
-    mine = F.pmod(F.hash("direction", F.lit(3)), n_own)
-    j = rows.join(sizes, "list").select("list", "direction", "vec", mine.alias("mine"), F.explode(F.sequence(F.lit(0), n_other - 1)).alias("theirs"))
+def _blocked(rows: DataFrame, sizes: DataFrame, own: str) -> DataFrame:
+    """Each row of (list, direction, vec) in a block of its own side, once for every block of the other side."""
+    blocks = {"items": ITEM_BLOCK, "queries": QUERY_BLOCK}
+    other = "queries" if own == "items" else "items"
+    n = lambda side: F.greatest(F.lit(1), F.ceil(F.col(side) / blocks[side])).cast("int")
+    mine = F.pmod(F.hash("direction", F.lit(3)), n(own))
+    j = rows.join(sizes, "list").select("list", "direction", "vec", mine.alias("mine"), F.explode(F.sequence(F.lit(0), n(other) - 1)).alias("theirs"))
     a, b = ("mine", "theirs") if own == "items" else ("theirs", "mine")
     return j.select("list", F.col(a).alias("ib"), F.col(b).alias("qb"), "direction", "vec")
 
@@ -230,18 +239,22 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, dimensions: int
     graph = spark.sparkContext.broadcast(CentreGraph(balanced_centres(x, max(4, list_size // every))))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def some(ids: np.ndarray, which: np.ndarray) -> pa.ListArray:
+            ends = np.concatenate([[0], np.cumsum(which.sum(axis=1))])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[which], pa.int32()))
+
         for b in batches:
             m = _matrix(b.column("vec"), dimensions)
             for i in range(0, len(m), 2048):
-                ids, put, ask = graph.value.lists(m[i : i + 2048])
-                r, c = np.nonzero(put | ask)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r, c], pa.int32()), b.column("direction").take(pa.array(i + r)), pa.array(put[r, c]), pa.array(ask[r, c])], names=["list", "direction", "put", "ask"])
-
-    lists = ws.save(spread(singles).mapInArrow(assign, "list int, direction bigint, put boolean, ask boolean"), "lists")
-    sizes = lists.groupBy("list").agg(F.count_if("put").alias("items"), F.count_if("ask").alias("queries"))
-    rows = lists.join(singles, "direction").select("list", "direction", "put", "ask", "vec")
-    items = _blocked(rows.where("put"), sizes, "items", ITEM_BLOCK, "queries")
-    queries = _blocked(rows.where("ask"), sizes, "queries", QUERY_BLOCK, "items").toDF("q_list", "q_ib", "q_qb", "q_direction", "q_vec")
+                part = m[i : i + 2048]
+                ids, put, ask = graph.value.lists(part)
+                yield pa.RecordBatch.from_arrays([b.column("direction").slice(i, len(part)), _rows(part.astype(np.float32)), some(ids, put), some(ids, ask)], names=["direction", "vec", "put", "ask"])
+
+    lists = ws.save(spread(singles).mapInArrow(assign, "direction bigint, vec array<float>, put array<int>, ask array<int>"), "lists")
+    sizes = lists.select(F.explode("put").alias("list"), F.lit(1).alias("i"), F.lit(0).alias("q")).unionAll(lists.select(F.explode("ask"), F.lit(0), F.lit(1)))
+    sizes = sizes.groupBy("list").agg(F.sum("i").alias("items"), F.sum("q").alias("queries"))  # a row per centre
+    items = _blocked(lists.select(F.explode("put").alias("list"), "direction", "vec"), sizes, "items")
+    queries = _blocked(lists.select(F.explode("ask").alias("list"), "direction", "vec"), sizes, "queries").toDF("q_list", "q_ib", "q_qb", "q_direction", "q_vec")
     hits = items.groupBy("list", "ib", "qb").cogroup(queries.groupBy("q_list", "q_ib", "q_qb")).applyInArrow(_search_block(k, least, dimensions), "q bigint, other bigint, sim double")
     best = hits.repartition("q").groupBy("q", "other").agg(F.max("sim").alias("sim"))
     best = best.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "other"))).where(F.col("r") <= k).drop("r")

@@ -17,10 +17,6 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(_vectors(spark, d))
 
 
-def p3_top5(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.nearest(_vectors(spark, d)).select("token", "rank", "other", F.round("sim", 6).alias("sim"))
-
-
 def _fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return survivors.fuse(table(spark, d, "atoms"), table(spark, d, "placeholder_terms"))
 
@@ -107,6 +103,6 @@ k AS (
 SELECT c AS conversation_id, s AS turn, id AS event_ref, who AS speaker_role FROM m WHERE c IN (SELECT c FROM k)
 """
 
-QUERIES = {"p3_found": p3_found, "p3_top5": p3_top5, "p5_found": p5_found, "p5_values": p5_values, "p6_found": p6_found, "p6_conversations": p6_conversations, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_values": p5_values, "p6_found": p6_found, "p6_conversations": p6_conversations, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 SQL: dict[str, str] = {"p3_found": _P3, "p5_found": _P5, "p6_found": f"SELECT conversation_id, turn, event_ref FROM ({_P6})", "p6_conversations": _P6}
