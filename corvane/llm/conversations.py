@@ -1,33 +1,26 @@
 """Problem 6: conversations rebuilt from message rows by keyed streaming state.
 
 Messages are keyed by conversation and by a block of its sequence numbers, so a conversation of any length is
-spread over many keys. A key's state buffers its messages, late and repeated ones included. When the watermark
-passes the last message by the idle time, the key is closed: its messages come out in order, with what can be told
-inside the block (broken rows, repeated sequence numbers, replies answered inside it). Blocks of a conversation are
-then put together by sums, and replies across blocks by a join, which decides whether it is kept.
+spread over many keys. A key's state buffers its messages in a session that late and repeated rows join; it closes
+when the watermark passes its last message by the idle time. A closed block comes out in order and validated as far
+as it can be inside the block: broken rows, repeated sequence numbers, replies answered inside it. Blocks of a
+conversation are then put together by sums, and replies across blocks by a join, which decides whether it is kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corvane.functions.records import stripped
 from corvane.session import Workspace
 
-BLOCK = 2048  # sequence numbers of one key
-END = "2200-01-01"  # event time of the row that ends a replayed table
-NEVER_LATE = "36500 days"  # with this delay no row of a replayed table comes too late
-IDLE_MS = 30 * 86_400_000  # a block is closed so long after its last message
+BLOCK = 512  # sequence numbers of one key
+END = "2500-01-01"  # event time of the row that ends a replayed table
+FOREVER = "36500 days"  # as delay: no row of a replayed table is late; as idle time: none closes before the end
+IDLE = "30 days"  # a block is closed so long after its last message
 
 _PAYLOAD = "conversation_id string, sequence string, role string, content string, in_reply_to string, _corrupt_record string"
-_STATE = "event_ref array<string>, turn array<bigint>, speaker array<string>, content array<boolean>, reply_to array<string>, broken array<boolean>, last bigint"
-_OUT = "conversation_id string, turn bigint, event_ref string, speaker string, content boolean, reply_to string, broken boolean"
-_COLUMNS = ["event_ref", "turn", "speaker", "content", "reply_to", "broken"]
 
 
 def messages(rows: DataFrame, roles: DataFrame) -> DataFrame:
@@ -49,7 +42,7 @@ def messages(rows: DataFrame, roles: DataFrame) -> DataFrame:
         F.coalesce(F.col("p.content").rlike(r"[\p{L}\p{N}]"), F.lit(False)).alias("content"),
         F.col("p.in_reply_to").alias("reply_to"),
         parsed.alias("parsed"),
-        F.least(F.coalesce("created_at", "ingested_at", F.to_timestamp(F.lit("2000-01-01"))), F.to_timestamp(F.lit("2099-01-01"))).alias("event_time"),
+        F.greatest(F.least(F.coalesce("created_at", "ingested_at", F.to_timestamp(F.lit("2000-01-01"))), F.to_timestamp(F.lit("2099-01-01"))), F.to_timestamp(F.lit("2000-01-01"))).alias("event_time"),
     ).where("conversation_id is not null and event_ref is not null")
     m = m.join(alias, "role", "left")
     block = F.when(F.col("turn") >= 1, F.floor((F.col("turn") - 1) / BLOCK)).otherwise(-1).cast("bigint")
@@ -57,75 +50,59 @@ def messages(rows: DataFrame, roles: DataFrame) -> DataFrame:
     return m.select("conversation_id", block.alias("block"), "turn", "event_ref", F.col("speaker_role").alias("speaker"), "content", "reply_to", broken.alias("broken"), "event_time")
 
 
-def _keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        held = state.get
-        state.remove()
-        if held[0] is not None:
-            yield _closed(key[0], held)
-        return
-    cols: list[list] = [[] for _ in _COLUMNS]
-    last = 0
-    if state.exists:
-        *old, last = state.get
-        cols = [list(c) for c in old]
-    at = {ref: i for i, ref in enumerate(cols[0])}
-    for pdf in batches:
-        last = max(last, int(pdf["event_time"].max().value // 1_000_000))
-        turn = [None if pd.isna(t) else int(t) for t in pdf["turn"]]
-        for row in zip(pdf["event_ref"], turn, pdf["speaker"], pdf["content"], pdf["reply_to"], pdf["broken"]):
-            ref = row[0]
-            if ref not in at:
-                at[ref] = len(cols[0])
-                for c, v in zip(cols, row):
-                    c.append(None if v is None else v)
-            elif cols[5][at[ref]] and not row[5]:  # of repeated rows one that parses counts
-                for c, v in zip(cols, row):
-                    c[at[ref]] = v
-    cols[3], cols[5] = [bool(x) for x in cols[3]], [bool(x) for x in cols[5]]
-    state.update((*cols, last))
-    state.setTimeoutTimestamp(max(last + IDLE_MS, state.getCurrentWatermarkMs() + 1))
-
-
-def _closed(conversation: str, held: tuple) -> pd.DataFrame:
-    """A block's messages in order; of its replies only those that nothing in the block answers."""
-    refs, turns, speakers, content, replies, broken = (list(x) for x in held[:6])
-    turn_of = dict(zip(refs, turns))
-    seen: set = set()
-    order = sorted(range(len(refs)), key=lambda i: (turns[i] is None, turns[i] or 0, refs[i]))
-    rows = []
-    for i in order:
-        bad = broken[i] or turns[i] in seen
-        seen.add(turns[i])
-        reply = replies[i]
-        if reply is not None and reply in turn_of:
-            there = turn_of[reply]
-            bad = bad or there is None or turns[i] is None or there >= turns[i]
-            reply = None
-        rows.append((conversation, turns[i], refs[i], speakers[i], content[i], reply, bad))
-    out = pd.DataFrame(rows, columns=["conversation_id", "turn", "event_ref", "speaker", "content", "reply_to", "broken"])
-    return out.astype({"turn": "Int64"})
-
-
-def assemble(stream: DataFrame, delay: str = NEVER_LATE) -> DataFrame:
-    """Streaming messages to streaming ordered blocks; rows later than `delay` behind the watermark are late."""
-    return (
-        stream.withWatermark("event_time", delay)
-        .groupBy("conversation_id", "block")
-        .applyInPandasWithState(_keep, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def _validated(blocks: DataFrame) -> DataFrame:
+    """(conversation_id, n, lo, hi, broken, asked, last_human, last_answer, open_replies, messages) of closed blocks.
+
+    blocks: (conversation_id, raw), raw sorted by event_ref, of repeated rows the one that parses first.
+    """
+    once = F.filter("raw", lambda x, i: (i == 0) | (F.get("raw", i - 1)["event_ref"] != x["event_ref"]))
+    fields = ("turn", "event_ref", "speaker", "content", "reply_to", "broken")
+    b = blocks.select("conversation_id", F.array_sort(F.transform(once, lambda x: F.struct(*[x[f].alias(f) for f in fields]))).alias("m"))
+    turns = F.map_from_entries(F.transform("m", lambda x: F.struct(x["event_ref"], x["turn"])))
+    b = b.withColumn("turns", turns)
+    there = lambda x: F.try_element_at("turns", x["reply_to"])
+    inside = lambda x: F.map_contains_key("turns", x["reply_to"])
+    asks = lambda x: x["reply_to"].isNotNull()
+    wrong = F.exists("m", lambda x: x["broken"] | (asks(x) & F.coalesce(inside(x), F.lit(False)) & ~F.coalesce(there(x) < x["turn"], F.lit(False))))
+    of = lambda keep: F.array_max(F.transform(F.filter("m", keep), lambda x: x["turn"]))
+    human: Column = lambda x: F.coalesce(x["speaker"] == "human", F.lit(False))
+    agent: Column = lambda x: F.coalesce(x["speaker"] == "agent", F.lit(False))
+    same = F.size(F.array_distinct(F.transform("m", lambda x: x["turn"]))) < F.size("m")
+    lost = F.filter("m", lambda x: asks(x) & ~F.coalesce(inside(x), F.lit(False)))
+    return b.select(
+        "conversation_id",
+        F.size("m").cast("bigint").alias("n"),
+        F.array_min(F.transform("m", lambda x: x["turn"])).alias("lo"),
+        F.array_max(F.transform("m", lambda x: x["turn"])).alias("hi"),
+        (wrong | same).alias("broken"),
+        F.exists("m", lambda x: human(x) & x["content"]).alias("asked"),
+        of(human).alias("last_human"),
+        of(lambda x: agent(x) & x["content"]).alias("last_answer"),
+        F.transform(lost, lambda x: F.struct(x["reply_to"].alias("event_ref"), x["turn"].alias("from"))).alias("open_replies"),
+        F.transform("m", lambda x: F.struct(x["turn"].alias("turn"), x["event_ref"].alias("event_ref"), x["speaker"].alias("speaker_role"))).alias("messages"),
     )
 
 
+def assemble(stream: DataFrame, delay: str, idle: str = IDLE) -> DataFrame:
+    """Streaming messages to streaming validated blocks; rows later than `delay` behind the watermark are late.
+
+    A conversation silent for longer than `idle` between two messages of one block comes out in two parts.
+    """
+    row = F.struct("event_ref", "broken", "turn", "speaker", "content", "reply_to")
+    closed = stream.withWatermark("event_time", delay).groupBy(F.session_window("event_time", idle), "conversation_id", "block").agg(F.array_sort(F.collect_set(row)).alias("raw"))
+    return _validated(closed)
+
+
 def replay(ws: Workspace, table: DataFrame) -> DataFrame:
     """Runs a finished table of messages() through the stream until every block is closed."""
     spark: SparkSession = table.sparkSession
     end = spark.range(1).select(F.lit("\u0000end").alias("conversation_id"), F.lit(-1).cast("bigint").alias("block"), F.lit(None).cast("bigint").alias("turn"), F.lit("end").alias("event_ref"), F.lit(None).cast("string").alias("speaker"), F.lit(False).alias("content"), F.lit(None).cast("string").alias("reply_to"), F.lit(True).alias("broken"), F.to_timestamp(F.lit(END)).alias("event_time"))
     landed = ws.save(table.unionByName(end), "landed")
-    stream = spark.readStream.schema(landed.schema).parquet(landed._corvane_path)
+    blocks = assemble(spark.readStream.schema(landed.schema).parquet(landed._corvane_path), FOREVER, FOREVER)
     out, mark = f"{ws.root}/blocks", f"{ws.root}/stream-state"
-    q = assemble(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start()
+    q = blocks.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(_OUT).parquet(out)
+    return spark.read.schema(blocks.schema).parquet(out)
 
 
 def rebuild(rows: DataFrame, roles: DataFrame) -> DataFrame:
@@ -133,25 +110,16 @@ def rebuild(rows: DataFrame, roles: DataFrame) -> DataFrame:
 
     Kept is a conversation whose rows are all sound, whose sequences are exactly 1..n, whose replies point to
     earlier messages of its own, in which a human says something and an agent says something after the last human
-    message. Rows that repeat an id count once. An empty table gives no rows.
+    message. Rows that repeat an id count once, of several different ones the one that parses. An empty table
+    gives no rows.
     """
     ws = Workspace(rows.sparkSession, "conversations")
     blocks = replay(ws, messages(rows, roles))
     c = "conversation_id"
-    human, agent = F.col("speaker") == "human", F.col("speaker") == "agent"
-    sums = blocks.groupBy(c).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("turn").alias("lo"),
-        F.max("turn").alias("hi"),
-        F.max("broken").alias("broken"),
-        F.max(human & F.col("content")).alias("asked"),
-        F.max(F.when(human, F.col("turn"))).alias("last_human"),
-        F.max(F.when(agent & F.col("content"), F.col("turn"))).alias("last_answer"),
-    )
+    sums = blocks.groupBy(c).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("broken").alias("broken"), F.max("asked").alias("asked"), F.max("last_human").alias("last_human"), F.max("last_answer").alias("last_answer"))
     kept = sums.where("not broken and lo = 1 and hi = n and asked and last_answer > last_human").select(c)
-    asks = blocks.where("reply_to is not null").select(c, F.col("reply_to").alias("event_ref"), F.col("turn").alias("from"))
-    there = blocks.select(F.col(c), "event_ref", F.col("turn").alias("to"))
-    lost = asks.join(there, [c, "event_ref"], "left").where("to is null or to >= `from`").select(c).distinct()
+    flat = blocks.select(c, F.explode("messages").alias("m")).select(c, "m.turn", "m.event_ref", "m.speaker_role")
+    asks = blocks.select(c, F.explode("open_replies").alias("a")).select(c, "a.event_ref", "a.from")
+    lost = asks.join(flat.select(c, "event_ref", F.col("turn").alias("to")), [c, "event_ref"], "left").where("to is null or to >= `from`").select(c).distinct()
     kept = kept.join(lost, c, "left_anti")
-    return blocks.join(kept, c, "left_semi").select(c, "turn", "event_ref", F.col("speaker").alias("speaker_role"))
-
+    return flat.join(kept, c, "left_semi")
