@@ -192,7 +192,8 @@ def pack(df: DataFrame, capacity: int, key: str = "doc_id", text: str = "text",
     take no room and share container 0. No container holds more than the capacity. An empty table gives none.
     """
     ws = Workspace(df.sparkSession, "packing")
-    items = _items(count_tokens(df, [key], text, name, folder), [key], capacity).repartitionByRange("size", key, "piece")
+    counted = ws.save(count_tokens(df, [key], text, name, folder), "tokens")  # the range partitioner reads its input twice
+    items = _items(counted, [key], capacity).repartitionByRange("size", key, "piece")
     items = ws.save(items.select(key, "piece", "size", F.spark_partition_id().alias("pid")), "items")
     per = ws.save(items.groupBy("size", "pid").agg(F.count(F.lit(1)).alias("n")), "counts")
     counts = {r["size"]: r["n"] for r in per.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most capacity + 1 rows
