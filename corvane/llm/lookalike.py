@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import spread
+from corvane.session import Workspace, spread
 
 #: Letters of other scripts that look like a Latin letter, and that letter.
 LOOKALIKES = {
@@ -206,7 +206,7 @@ def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """
     f = unify(df.where(F.col(text).isNotNull()).select(key, text), [key, text], text)
     f = f.where(F.col("form").rlike(r"\S")).select(F.col(key).alias("doc"), F.xxhash64("form").alias("f1"), F.xxhash64("form", F.lit(1)).alias("f2"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"))
-    return _pairs(f)
+    return _pairs(Workspace(df.sparkSession, "forms").save(f, "hashes"))  # read three times, made once
 
 
 def _pairs(docs: DataFrame) -> DataFrame:
