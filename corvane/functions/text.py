@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no content in a search.
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "into", "is", "it", "its", "of", "on", "or", "that", "the", "their", "then", "this", "to", "was", "were", "will", "with", "true", "false", "null", "none", "id", "type")
+#: Words that carry no content in a search, and the form of ids that do not either.
+STOPWORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "been", "by", "for", "from", "has", "have", "in", "into", "is", "it", "of", "on", "or",
+    "that", "the", "their", "this", "to", "was", "were", "will", "with", "true", "false", "none", "null", "active", "proposed", "pending",
+)
+REFERENCE_TOKEN = "^(atom|evt|evd|thread|cycle|repisode|curriculum|endogenous_work|kproject|agent_project)_[a-z0-9_-]{8,}$"
 
 
 def tokens(c: Column) -> Column:
@@ -16,7 +20,7 @@ def tokens(c: Column) -> Column:
 
 def is_content(t: Column) -> Column:
     """Longer than one character, no stop word, no reference id, no long hexadecimal, no version mark."""
-    return (F.length(t) > 1) & ~t.isin(*STOPWORDS) & ~t.rlike("^(mem|ev|evt|edge|msg|tomb|conv)_[0-9a-f]+$") & ~t.rlike("^[0-9a-f]{12,}$") & ~t.rlike(r"^v\d+$")
+    return (F.length(t) > 1) & ~t.isin(*STOPWORDS) & ~t.rlike(REFERENCE_TOKEN) & ~t.rlike("^[0-9a-f]{12,}$") & ~t.rlike(r"^v\d+$")
 
 
 def index_tokens(c: Column) -> Column:

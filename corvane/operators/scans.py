@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from corvane.functions.scopes import scope_map, scope_visible
 
-#: Lifecycle states in the order a scan prefers them.
-HOT_ORDER = ("active", "proposed", "superseded", "archived")
-LOW_HEALTH = ("orphaned", "low_utility", "stale", "corrupted", "unverified")
+#: Lifecycle states in the order a scan prefers them, all others behind; health states held back.
+HOT_ORDER = ("active", "proposed")
+LOW_HEALTH = ("confounding", "low_utility", "merged", "orphaned", "stale")
 
 
 def latest_rows(df: DataFrame, key: str, *order: str) -> DataFrame:

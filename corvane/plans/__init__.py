@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import problems, store
+from corvane.plans import derived, problems, store
 
-_MODULES = [problems, store]
+_MODULES = [problems, store, derived]
 
 
 def all_queries() -> dict:

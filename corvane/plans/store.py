@@ -46,7 +46,7 @@ def scan_filtered(s, d):
     return scans.filtered(atoms(s, d), types=["belief", "goal"], lifecycle=["active", "proposed"], without_health=["stale", "contradicted"]).select("id", "type", "lifecycle_state", "updated_at").distinct()
 
 
-@query("SELECT id, lifecycle_state FROM (SELECT DISTINCT id, lifecycle_state, updated_at FROM atoms) ORDER BY CASE lifecycle_state WHEN 'active' THEN 0 WHEN 'proposed' THEN 1 WHEN 'superseded' THEN 2 WHEN 'archived' THEN 3 ELSE 4 END, updated_at DESC NULLS LAST, id LIMIT 512")
+@query("SELECT id, lifecycle_state FROM (SELECT DISTINCT id, lifecycle_state, updated_at FROM atoms) ORDER BY CASE lifecycle_state WHEN 'active' THEN 0 WHEN 'proposed' THEN 1 ELSE 2 END, updated_at DESC NULLS LAST, id LIMIT 512")
 def scan_hot(s, d):
     return scans.newest(atoms(s, d).select("id", "lifecycle_state", "updated_at").distinct(), 512).select("id", "lifecycle_state")
 
@@ -71,7 +71,7 @@ def reference_classify(s, d):
 SELECT id, CASE WHEN deleted THEN 'deleted' WHEN NOT coalesce(lifecycle_state = 'active', false) THEN 'lifecycle'
   WHEN NOT (coalesce(json_extract_string(scope, '$.tenant') IN ('tenant-1', 'global'), json_extract_string(scope, '$.tenant') IS NULL)
     AND coalesce(json_extract_string(scope, '$.workspace') = 'global', json_extract_string(scope, '$.workspace') IS NULL)) THEN 'scope'
-  WHEN health_status = 'contradicted' THEN 'contradicted' WHEN health_status IN ('orphaned', 'low_utility', 'stale', 'corrupted', 'unverified') THEN 'low_health' END AS reason
+  WHEN health_status = 'contradicted' THEN 'contradicted' WHEN health_status IN ('confounding', 'low_utility', 'merged', 'orphaned', 'stale') THEN 'low_health' END AS reason
 FROM (SELECT DISTINCT id, deleted, lifecycle_state, scope, health_status FROM atoms)""")
 def scope_access_reasons(s, d):
     return scans.visibility_reasons(atoms(s, d).select("id", "deleted", "lifecycle_state", "scope", "health_status").distinct(), ASKED)
@@ -119,7 +119,7 @@ _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 _INDEX = f"""
 raw AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM documents),
 parts AS (SELECT doc_id, w FROM raw UNION ALL SELECT doc_id, unnest(string_split(w, '_')) FROM raw),
-idx AS (SELECT DISTINCT doc_id, w AS token FROM parts WHERE length(w) > 1 AND w NOT IN ({_STOP}) AND NOT regexp_matches(w, '^(mem|ev|evt|edge|msg|tomb|conv)_[0-9a-f]+$') AND NOT regexp_matches(w, '^[0-9a-f]{{12,}}$') AND NOT regexp_matches(w, '^v\\d+$'))"""
+idx AS (SELECT DISTINCT doc_id, w AS token FROM parts WHERE length(w) > 1 AND w NOT IN ({_STOP}) AND NOT regexp_matches(w, '{text.REFERENCE_TOKEN.replace('{', '{')}') AND NOT regexp_matches(w, '^[0-9a-f]{{12,}}$') AND NOT regexp_matches(w, '^v\\d+$'))"""
 
 
 @query(f"WITH {_INDEX}, n AS (SELECT count(DISTINCT doc_id) AS n FROM idx), f AS (SELECT token, count(*) AS df FROM idx GROUP BY 1), x AS (SELECT doc_id, sum(ln((n + 1) / (df + 1)) + 1) AS score FROM idx JOIN f USING (token), n WHERE token IN ('greenhouse', 'ratified', 'quarry') GROUP BY 1) SELECT doc_id, round(score, 6) AS score FROM x ORDER BY round(score, 9) DESC, doc_id LIMIT 100")
@@ -221,10 +221,10 @@ def ref_partition(s, d):
     return quality.partition_refs(atoms(s, d), evidence(s, d))
 
 
-@query("SELECT actor, percentile_cont(0.5) WITHIN GROUP (ORDER BY x) AS p50, percentile_cont(0.95) WITHIN GROUP (ORDER BY x) AS p95, avg(x) AS mean FROM (SELECT DISTINCT actor, event_id, epoch_us(accepted_at) - epoch_us(occurred_at) AS x FROM event_journal_entry) GROUP BY 1")
+@query("SELECT actor, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY x), 1) AS p50, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY x), 1) AS p95, round(avg(x), 1) AS mean FROM (SELECT DISTINCT actor, event_id, epoch_us(accepted_at) - epoch_us(occurred_at) AS x FROM event_journal_entry) GROUP BY 1")
 def latency_percentiles(s, d):
     e = log(s, d).select("actor", "event_id", (F.unix_micros("accepted_at") - F.unix_micros("occurred_at")).alias("x")).distinct()
-    return quality.percentiles(e, "actor", "x")
+    return quality.percentiles(e, "actor", "x").select("actor", *[F.round(c, 1).alias(c) for c in ("p50", "p95", "mean")])
 
 
 # ----------------------------------------------------------------------------------- duplicates and groups
@@ -512,7 +512,7 @@ def stream_position(s, d):
     return views.stream_position(m).select("id", "preceding")
 
 
-@query("WITH x AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w > 14400000000 THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), y AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM x) SELECT user_id, session, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM y GROUP BY ALL")
+@query("WITH x AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w > 14400000000 THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), y AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM x) SELECT user_id, session::bigint AS session, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM y GROUP BY ALL")
 def event_sessions(s, d):
     return views.sessions(events_t(s, d), "user_id", "ts", 14400)
 

@@ -19,9 +19,9 @@ def test_three_scope_rules(spark):
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([("The Quarry_id v2 is mem_ab12 and Greenhouse", None)], "t string, n string")
+    df = spark.createDataFrame([("The Quarry_id v2 is atom_ab12cd34ef and Greenhouse", None)], "t string, n string")
     r = df.select(text.index_tokens(F.col("t")).alias("i"), text.tokens(F.col("n")).alias("n"), text.cue_score(F.col("t"), text.tokens(F.col("t")), ["green house", "quarry_id x"]).alias("c"), text.squeeze(F.lit("a   b\nc" + "d" * 20), 8).alias("s")).first()
-    assert r.i == ["ab12", "greenhouse", "mem", "quarry", "quarry_id"] and r.n == [] and r.c == 0.5 and r.s == "a b cdd…"
+    assert r.i == ["ab12cd34ef", "atom", "greenhouse", "id", "quarry", "quarry_id"] and r.n == [] and r.c == 0.5 and r.s == "a b cdd…"
 
 
 def test_packer_skips_what_does_not_fit(spark):
