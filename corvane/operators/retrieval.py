@@ -11,6 +11,7 @@ from corvane.functions.scopes import scope_map
 from corvane.functions.text import cue_score, tokens
 from corvane.functions.times import recency
 from corvane.operators import graph, quality, scans
+from corvane.session import Workspace
 
 #: Weights of the components of a record's score.
 WEIGHTS = {"direct": 0.22, "edge": 0.12, "recency": 0.08, "confidence": 0.12, "utility": 0.12, "salience": 0.08, "scope_specificity": 0.06, "contradiction": -0.30, "staleness": -0.18, "superseded": -0.20}
@@ -21,8 +22,9 @@ def components(atoms: DataFrame, edges: DataFrame, cues: list[str], asked: dict[
     a = scans.visibility_reasons(atoms.dropDuplicates(["id"]), asked, include_conflicts=True, include_low_health=True)
     text = quality.rendered(atoms)
     base = atoms.dropDuplicates(["id"]).select("id", "updated_at", "observed_at", "utility", "salience", "health_status", confidence().alias("confidence"), F.size(scope_map()).alias("n_scope")).join(a, "id").join(text, "id")
-    base = base.withColumn("direct", cue_score(F.col("text"), tokens(F.col("text")), cues))
-    live = graph.live_edges(edges)
+    ws = Workspace(atoms.sparkSession, "retrieval")
+    base = ws.save(base.withColumn("direct", cue_score(F.col("text"), tokens(F.col("text")), cues)), "base")  # read for seeds and for scores
+    live = ws.save(graph.live_edges(edges).select("edge_id", "source_ref", "target_ref", "relation"), "links")
     seeds = base.where("direct > 0 and reason is null").select(F.col("id").alias("ref"), F.col("direct").alias("strength"))
     spread = graph.activation(live, seeds).select(F.col("ref").alias("id"), F.col("strength").alias("edge"))
     old = scans.supersession(edges, atoms).select(F.col("ref").alias("id"), F.lit(1.0).alias("superseded"))
@@ -67,6 +69,7 @@ def pack(ranked: DataFrame, budget: int, group: str | None = None) -> DataFrame:
 def packet(atoms: DataFrame, edges: DataFrame, cues: list[str], asked: dict[str, str], now: str, k: int = 64, budget: int = 4000) -> DataFrame:
     """(rank, id, score, size, packed): the k best visible records for the cues and which of them fit the budget."""
     best = scored(components(atoms, edges, cues, asked, now)).orderBy(F.desc(F.round("score", 9)), "id").limit(k)
+    best = Workspace(atoms.sparkSession, "packet").save(best, "best")  # k rows, read twice below
     ranked = best.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.round("score", 9)), "id"))).withColumn("size", F.octet_length("text").cast("bigint"))
     return pack(ranked.select("rank", "id", F.round("score", 6).alias("score"), "size"), budget)
 
