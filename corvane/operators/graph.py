@@ -197,6 +197,55 @@ def facet_pairs(facets: DataFrame) -> DataFrame:
     return out.where(F.col("relation").isNotNull()).select(F.col("l_atom_ref").alias("left_ref"), F.col("r_atom_ref").alias("right_ref"), "relation", "confidence")
 
 
+#: What facets of one class have in common.
+FACET_CLASS = ["subject", "context", "intent", "direction", "confidence"]
+
+
+def facet_members(facets: DataFrame) -> DataFrame:
+    """Facets with class_id: the least facet of their class, which is all facets equal in FACET_CLASS."""
+    f = facets.dropDuplicates(["facet_id"]).withColumns({c: F.coalesce(c, F.lit("")) for c in FACET_CLASS[:4]} | {"confidence": F.coalesce("confidence", F.lit(0.5))})
+    return f.join(f.groupBy(*FACET_CLASS).agg(F.min("facet_id").alias("class_id")), FACET_CLASS).select("facet_id", "class_id", "atom_ref", *FACET_CLASS, "time_index")
+
+
+def facet_class_relations(members: DataFrame) -> DataFrame:
+    """(left_class, right_class, relation, confidence): all relations between facets of one subject and context.
+
+    members: rows of facet_members(). A row stands for every pair of members with different records, for
+    rel:supersedes for those of them whose left facet is the later one; class_pairs() writes the pairs out. Classes
+    number at most as the levels of confidence do for an intent and a direction, so a hot subject stays small. A row
+    is there only if such a pair is: of each class the first and last times of two different records decide.
+    """
+    per = members.groupBy("class_id", *FACET_CLASS, "atom_ref").agg(F.min("time_index").alias("first"), F.max("time_index").alias("last"))
+
+    rank = lambda o: F.row_number().over(W.partitionBy("class_id").orderBy(o, "atom_ref"))
+    per = per.withColumns({"first_n": rank(F.asc_nulls_last("first")), "last_n": rank(F.desc_nulls_last("last"))})
+    nth = lambda c, n, x: F.max(F.when(F.col(f"{c}_n") == n, F.col(x)))
+    ends = [x for c in ("first", "last") for x in (nth(c, 1, c).alias(c), nth(c, 1, "atom_ref").alias(f"{c}_atom"), nth(c, 2, c).alias(f"{c}2"))]
+    k = per.groupBy("class_id", *FACET_CLASS).agg(F.min("atom_ref").alias("lo"), F.max("atom_ref").alias("hi"), *ends)
+    k = Workspace(members.sparkSession, "facets").save(k, "classes")
+    side = lambda s: k.select("subject", "context", *[F.col(c).alias(f"{s}_{c}") for c in k.columns if c not in ("subject", "context")])
+    j = side("l").join(side("r"), ["subject", "context"])
+    same = (F.col("l_intent") == F.col("r_intent")) & (F.col("l_intent") != "")
+    two = "not (l_lo = l_hi and r_lo = r_hi and l_lo = r_lo)"
+    later = F.expr("coalesce(l_last_atom <> r_first_atom and l_last > r_first, false) or coalesce(l_last > r_first2, false) or coalesce(l_last2 > r_first, false)")
+    directed = F.col("l_direction").isin("positive", "negative") & F.col("r_direction").isin("positive", "negative")
+    rel = F.when(same, F.when(~directed, "rel:similar_to").when(F.col("l_direction") == F.col("r_direction"), "rel:supports").otherwise("rel:contradicts")).otherwise("rel:supersedes")
+    holds = (same & (F.col("l_class_id") <= F.col("r_class_id"))) | (~same & later & (F.col("l_confidence") >= F.col("r_confidence") + 0.1))
+    conf = F.when(same, F.least("l_confidence", "r_confidence")).otherwise(F.col("l_confidence"))
+    return j.where(two).where(holds).select(F.col("l_class_id").alias("left_class"), F.col("r_class_id").alias("right_class"), rel.alias("relation"), F.round(conf, 4).alias("confidence"))
+
+
+def class_pairs(members: DataFrame, relations: DataFrame) -> DataFrame:
+    """(left_ref, right_ref, relation, confidence): the pairs of records that rows of facet_class_relations() stand
+    for. As many as the square of a subject's facets: give it the classes or members that are asked for."""
+    side = lambda s: members.select(F.col("class_id").alias(f"{s}_class"), F.col("atom_ref").alias(f"{s}_ref"), F.col("time_index").alias(f"{s}_time"))
+    p = relations.join(side("left"), "left_class").join(side("right"), "right_class").where("left_ref <> right_ref")
+    newer = F.col("relation") == "rel:supersedes"
+    p = p.where(~newer | (F.col("left_time") > F.col("right_time")))
+    ref = lambda c, f: F.when(newer, F.col(c)).otherwise(f("left_ref", "right_ref")).alias(c)
+    return p.select(ref("left_ref", F.least), ref("right_ref", F.greatest), "relation", "confidence").distinct()
+
+
 def intrinsic_edges(atoms: DataFrame) -> DataFrame:
     """(source_ref, target_ref, relation): links a record's own fields state, between live active records."""
     live = atoms.where(~F.coalesce(F.col("deleted"), F.lit(False)) & (F.col("lifecycle_state") == "active")).dropDuplicates(["id"])

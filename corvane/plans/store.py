@@ -390,9 +390,31 @@ p AS (SELECT atom_ref AS la, intent AS li, direction AS ld, confidence AS lc, le
 r AS (SELECT *, CASE WHEN li = ri THEN CASE WHEN ld = rd THEN 'rel:supports' ELSE 'rel:contradicts' END WHEN rc >= lc + 0.1 THEN 'rel:supersedes' END AS relation FROM p WHERE ra IS NOT NULL AND ra <> la)
 SELECT la AS left_ref, ra AS right_ref, relation, CASE WHEN relation = 'rel:supersedes' THEN rc ELSE least(lc, rc) END AS confidence FROM r WHERE relation IS NOT NULL""")
 def facet_relations(s, d):
+    return graph.facet_pairs(_facets(s, d))
+
+
+def _facets(s, d):
     e = graph.live_edges(edges(s, d))
-    f = e.select(F.col("edge_id").alias("facet_id"), F.col("source_ref").alias("atom_ref"), F.col("target_ref").alias("subject"), F.col("relation").alias("context"), F.when(F.col("version") > 1, "revised").otherwise("first").alias("intent"), F.when(confidence() >= 0.5, "positive").otherwise("negative").alias("direction"), confidence().alias("confidence"), F.col("created_at").alias("time_index"))
-    return graph.facet_pairs(f)
+    return e.select(F.col("edge_id").alias("facet_id"), F.col("source_ref").alias("atom_ref"), F.col("target_ref").alias("subject"), F.col("relation").alias("context"), F.when(F.col("version") > 1, "revised").otherwise("first").alias("intent"), F.when(confidence() >= 0.5, "positive").otherwise("negative").alias("direction"), confidence().alias("confidence"), F.col("created_at").alias("time_index"))
+
+
+_CLASSES = f"""
+f AS (SELECT edge_id AS facet_id, source_ref AS atom_ref, target_ref AS subject, relation AS context, CASE WHEN version > 1 THEN 'revised' ELSE 'first' END AS intent, CASE WHEN {_CONF} >= 0.5 THEN 'positive' ELSE 'negative' END AS direction, {_CONF} AS confidence, created_at AS time_index FROM {E}),
+k AS (SELECT *, min(facet_id) OVER (PARTITION BY subject, context, intent, direction, confidence) AS class_id FROM f)"""
+
+
+@query(f"WITH {_CLASSES} SELECT facet_id, class_id, atom_ref, subject, context, intent, direction, confidence, time_index FROM k")
+def facet_members(s, d):
+    return graph.facet_members(_facets(s, d))
+
+
+@query(f"""
+WITH {_CLASSES},
+p AS (SELECT l.class_id AS left_class, r.class_id AS right_class, CASE WHEN l.intent <> r.intent THEN 'rel:supersedes' WHEN l.direction = r.direction THEN 'rel:supports' ELSE 'rel:contradicts' END AS relation, CASE WHEN l.intent <> r.intent THEN l.confidence ELSE least(l.confidence, r.confidence) END AS confidence
+  FROM k l JOIN k r USING (subject, context) WHERE l.atom_ref <> r.atom_ref AND CASE WHEN l.intent = r.intent THEN l.class_id <= r.class_id ELSE l.time_index > r.time_index AND l.confidence >= r.confidence + 0.1 END)
+SELECT DISTINCT left_class, right_class, relation, round(confidence, 4) AS confidence FROM p""")
+def facet_class_relations(s, d):
+    return graph.facet_class_relations(graph.facet_members(_facets(s, d)))
 
 
 @query(f"WITH a AS (SELECT * FROM {A} WHERE lifecycle_state = 'active') SELECT DISTINCT source_ref, target_ref, relation FROM (SELECT id AS source_ref, unnest(supersedes) AS target_ref, 'rel:supersedes' AS relation FROM a UNION ALL SELECT id, unnest(from_json(payload->'$.source_refs', '[\"varchar\"]')), 'rel:derived_from' FROM a WHERE json_valid(payload)) WHERE target_ref <> source_ref AND target_ref IN (SELECT id FROM a)")
