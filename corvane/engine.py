@@ -64,8 +64,8 @@ class Engine:
     def verify_replay(self, stored: DataFrame) -> DataFrame:
         return journal.diff(stored, self.replay_graph().withColumnRenamed("atom_id", "id"), "id", "version")
 
-    def analyze_provenance(self, depth: int = 8) -> DataFrame:
-        return graph.ancestry(graph.live_edges(self.edges), depth)
+    def analyze_provenance(self, depth: int = 64) -> DataFrame:
+        return graph.ancestry(graph.live_edges(self.edges), depth, self.atoms)
 
     def hierarchy(self) -> DataFrame:
         return hierarchy.hierarchy(hierarchy.part_of_links(self.edges, self.table("relation_dictionary")))

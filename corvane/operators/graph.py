@@ -123,21 +123,35 @@ def reply_chain(messages: DataFrame, starts: DataFrame, limit: int) -> DataFrame
     return out
 
 
-def ancestry(edges: DataFrame, depth: int = 8) -> DataFrame:
-    """(ref, ancestor, depth, cyclic): everything a record derives from, at its least depth, by derived_from links.
+def parent_links(edges: DataFrame, atoms: DataFrame | None = None) -> DataFrame:
+    """(r, up), distinct: what a record derives from, by derived_from links and, with atoms, by the records its
+    payload names in source_refs. Sources that are no record are passed over."""
+    up = edges.where("relation = 'rel:derived_from'").select(F.col("source_ref").alias("r"), F.col("target_ref").alias("up"))
+    if atoms is not None:
+        stated = atoms.select(F.col("id").alias("r"), F.explode(F.from_json(F.get_json_object("payload", "$.source_refs"), "array<string>")).alias("up"))
+        up = up.unionByName(stated.join(atoms.select(F.col("id").alias("up")), "up", "left_semi").select("r", "up"))
+    return up.where("r is not null and up is not null").distinct()
 
-    cyclic: the record is its own ancestor within the depth. Pairs are kept distinct in every round.
+
+def ancestry(edges: DataFrame, depth: int = 64, atoms: DataFrame | None = None) -> DataFrame:
+    """(ref, ancestor, depth, cyclic): everything a record derives from, at its least depth, by parent_links().
+
+    cyclic: the record is its own ancestor within the depth. Pairs are kept distinct in every round; the rounds end
+    when one finds nothing new, or at the reference's greatest depth.
     """
     ws = Workspace(edges.sparkSession, "ancestry")
-    up = ws.save(edges.where("relation = 'rel:derived_from'").select(F.col("source_ref").alias("r"), F.col("target_ref").alias("up")).distinct(), "up")
+    up = ws.save(parent_links(edges, atoms), "up")
     found = ws.save(up.select(F.col("r").alias("ref"), F.col("up").alias("ancestor"), F.lit(1).alias("depth")), "found")
     frontier = found
     for i in range(2, depth + 1):
         step = frontier.join(up, F.col("ancestor") == F.col("r")).select("ref", F.col("up").alias("ancestor")).distinct()
-        frontier = ws.save(step.join(found, ["ref", "ancestor"], "left_anti").withColumn("depth", F.lit(i)), "frontier")
-        if not rows_of(frontier):
+        nxt = ws.save(step.join(found, ["ref", "ancestor"], "left_anti").withColumn("depth", F.lit(i)), "frontier")
+        if not rows_of(nxt):
             break
-        found = ws.save(found.unionByName(frontier), "found")
+        more = ws.save(found.unionByName(nxt), "found")
+        for old in {id(x): x for x in (found, frontier)}.values():
+            ws.drop(old)
+        found, frontier = more, nxt
     loops = found.where("ref = ancestor").select("ref", F.lit(True).alias("loop"))
     return found.join(loops, "ref", "left").select("ref", "ancestor", "depth", F.coalesce("loop", F.lit(False)).alias("cyclic"))
 

@@ -360,7 +360,7 @@ w AS (SELECT r AS ref, p AS ancestor, 1 AS depth FROM u UNION SELECT w.ref, u.p,
 f AS (SELECT ref, ancestor, min(depth) AS depth FROM w GROUP BY ALL)
 SELECT ref, ancestor, depth, ref IN (SELECT ref FROM f WHERE ref = ancestor) AS cyclic FROM f""")
 def ancestry_paths(s, d):
-    return graph.ancestry(graph.live_edges(edges(s, d)), 8)
+    return graph.ancestry(graph.live_edges(edges(s, d)), atoms=atoms(s, d))
 
 
 @query(f"""
@@ -368,7 +368,7 @@ WITH RECURSIVE u AS (SELECT DISTINCT source_ref AS r, target_ref AS p FROM {E} W
 w AS (SELECT r AS ref, p AS ancestor, 1 AS depth FROM u UNION SELECT w.ref, u.p, w.depth + 1 FROM w JOIN u ON u.r = w.ancestor WHERE w.depth < 8)
 SELECT DISTINCT ref, ancestor AS root FROM w WHERE ancestor NOT IN (SELECT r FROM u)""")
 def ancestry_roots(s, d):
-    return graph.roots(graph.ancestry(graph.live_edges(edges(s, d)), 8))
+    return graph.roots(graph.ancestry(graph.live_edges(edges(s, d)), atoms=atoms(s, d)))
 
 
 @query(f"""

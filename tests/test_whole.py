@@ -21,3 +21,13 @@ def test_facets_meet_all_of_their_subject(spark):
             elif None not in (t, u) and t > u and x >= y + 0.1:
                 want.add((a, b, "rel:supersedes", x))
     assert got == want and ("a", "d", "rel:contradicts", 0.5) in got
+
+
+def test_ancestry_goes_to_the_top(spark):
+    e = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}", "rel:derived_from") for i in range(20)] + [(f"c{i:02d}", f"c{(i + 1) % 12:02d}", "rel:derived_from") for i in range(12)], "source_ref string, target_ref string, relation string")
+    a = spark.createDataFrame([("n20", '{"source_refs": ["top", "unknown", "n20"]}'), ("top", None), ("x", "{broken")], "id string, payload string")
+    got = {(r.ref, r.ancestor): (r.depth, r.cyclic) for r in graph.ancestry(e, atoms=a).collect()}
+    assert got["n00", "n20"] == (20, False) and got["n00", "top"] == (21, False) and ("n20", "unknown") not in got
+    assert got["c00", "c00"] == (12, True)
+    b = spark.createDataFrame([("n20", '{"source_refs": ["top"]}'), ("top", None)], "id string, payload string")
+    assert {r.root for r in graph.roots(graph.ancestry(e, atoms=b)).where("ref = 'n00'").collect()} == {"top"}
