@@ -139,12 +139,28 @@ def truncated_text(s, d):
     return x.select("doc_id", text.squeeze(F.col("text"), 80).alias("short"))
 
 
+# White space of any script, as the reference's split() takes it.
+_BLANK = "[ \\t\\n\\r\\f\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+
+@query(SQL["truncated_text"].replace(" AND lang = 'en'", "").replace("[ \\t\\n\\r\\f\\v]+", _BLANK))
+def truncated_text_all(s, d):
+    x = docs(s, d).where("text is not null").select("doc_id", F.trim(F.regexp_replace("text", _BLANK, " ")).alias("text"))
+    return x.where(F.length("text") > 80).select("doc_id", text.squeeze(F.col("text"), 80).alias("short"))
+
+
 @query("SELECT gram, count(*) AS n FROM (SELECT unnest(list_concat(list_transform(range(1, length(f) - 1), lambda i: substr(f, i, 3)), list_transform(range(1, length(f) - 2), lambda i: substr(f, i, 4)))) AS gram FROM (SELECT '^' || w || '$' AS f FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM documents WHERE lang = 'de') WHERE length(w) >= 3)) GROUP BY 1")
 def char_ngrams(s, d):
     w = docs(s, d).where("lang = 'de'").select(F.explode(text.tokens(F.col("text"))).alias("w"))
     return w.select(F.explode(text.char_ngrams(F.col("w"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(SQL["char_ngrams"].replace(" WHERE lang = 'de'", ""))
+def char_ngrams_all(s, d):
+    w = docs(s, d).select(F.explode(text.tokens(F.col("text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))  # each word is cut once
+    return w.select(F.explode(text.char_ngrams(F.col("w"))).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 @query("""
 WITH w AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM documents) GROUP BY ALL),
 f AS (SELECT token, count(*) AS df FROM w GROUP BY 1), tot AS (SELECT count(DISTINCT doc_id) AS t FROM documents),
@@ -343,6 +359,8 @@ def activation_2hop(s, d):
 
 _MSG = "(SELECT DISTINCT coalesce(conversation_id, p->>'$.conversation_id') AS conversation_id, coalesce(sequence, TRY_CAST(p->>'$.sequence' AS bigint)) AS sequence, id, p->>'$.actor_ref' AS actor, lower(trim(p->>'$.role')) AS role, p->>'$.in_reply_to' AS in_reply_to FROM (SELECT *, payload::json AS p FROM interaction_event WHERE json_valid(payload)) WHERE id IS NOT NULL)"
 
+_MSG_ALL = _MSG.replace("payload::json AS p FROM interaction_event WHERE json_valid(payload)", "CASE WHEN json_valid(payload) THEN payload::json END AS p FROM interaction_event")
+
 
 @query(f"""
 WITH RECURSIVE m AS (SELECT id AS ref, min(in_reply_to) AS up FROM {_MSG} GROUP BY 1),
@@ -576,3 +594,10 @@ def packet_pack(s, d):
     c = docs(s, d).where("text is not null and lang = 'fr'").select("doc_id", size.alias("size")).orderBy(F.desc("size"), "doc_id").limit(64)
     c = quality.top_per_group(c.withColumn("g", F.lit(1)), "g", 64, F.desc("size"), "doc_id").drop("g")
     return retrieval.pack(c, 6000).select("doc_id", "rank", "size", "packed")
+
+
+@query(SQL["packet_pack"].replace(" AND lang = 'fr'", ""))
+def packet_pack_all(s, d):
+    c = docs(s, d).where("text is not null").select("doc_id", F.octet_length("text").cast("bigint").alias("size")).orderBy(F.desc("size"), "doc_id").limit(64)
+    c = quality.top_per_group(c.withColumn("g", F.lit(1)), "g", 64, F.desc("size"), "doc_id").drop("g")
+    return retrieval.pack(c, 6000).select("doc_id", "rank", "size", "packed")

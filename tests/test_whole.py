@@ -1,5 +1,6 @@
 """Whole results: what lies beyond a neighbour, a depth, a language or a payload that parses."""
 
+import __spark_entry__ as entry
 from corvane.operators import graph
 
 FACET = "facet_id string, atom_ref string, subject string, context string, intent string, direction string, confidence double, time_index int"
@@ -31,3 +32,16 @@ def test_ancestry_goes_to_the_top(spark):
     assert got["c00", "c00"] == (12, True)
     b = spark.createDataFrame([("n20", '{"source_refs": ["top"]}'), ("top", None)], "id string, payload string")
     assert {r.root for r in graph.roots(graph.ancestry(e, atoms=b)).where("ref = 'n00'").collect()} == {"top"}
+
+
+def run(spark, tmp_path, name, **tables):
+    for n, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{tmp_path}/{n}.parquet")
+    return sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect())
+
+
+def test_texts_of_all_languages(spark, tmp_path):
+    docs = ([(1, "abc", "en"), (2, "abc", "DE"), (3, "abc", None), (4, "x\u2003" * 60, "vi"), (5, None, "fr")], "doc_id long, text string, lang string")
+    assert run(spark, tmp_path, "char_ngrams_all", documents=docs) == sorted([("^ab", 3), ("abc", 3), ("bc$", 3), ("^abc", 3), ("abc$", 3)])
+    assert run(spark, tmp_path, "truncated_text_all") == [(4, ("x " * 40).strip() + "…")]
+    assert [(r[0], r[3]) for r in run(spark, tmp_path, "packet_pack_all")] == [(1, True), (2, True), (3, True), (4, True)]
