@@ -15,6 +15,13 @@ def confidence(c: str = "confidence") -> Column:
     return F.coalesce(F.col(f"{c}.score"), by_level, F.lit(0.5))
 
 
+def parsed(c: str = "payload") -> Column:
+    """The JSON text if it parses, else null: a broken payload has no fields, whatever stands ahead of the break."""
+    one = F.try_parse_json(F.concat(F.lit("["), F.col(c), F.lit("]")))  # alone, the parser passes over what follows the value
+    at = lambda i: F.try_variant_get(one, f"$[{i}]", "variant")
+    return F.when(at(0).isNotNull() & at(1).isNull(), F.col(c))
+
+
 def stripped(c: Column) -> Column:
     """Text without outer white space of any kind."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions.ids import canonical_json, digest
-from corvane.functions.records import confidence
+from corvane.functions.records import confidence, parsed
 from corvane.functions.text import first_filled, normal_label, tokens
 from corvane.functions.times import seconds_since
 
@@ -56,7 +56,7 @@ def keep_best(rows: DataFrame, group: str, key: str, *order: str) -> DataFrame:
 
 def cluster_keys(atoms: DataFrame) -> DataFrame:
     """(id, cluster): subject and predicate, else name, else the first eight tokens of the payload."""
-    g = lambda f: F.get_json_object("payload", f"$.{f}")
+    g = lambda f: F.get_json_object(parsed(), f"$.{f}")
     sp = F.when(F.coalesce(g("subject"), F.lit("")) != "", F.when(F.coalesce(g("predicate"), F.lit("")) != "", F.concat_ws("|", F.lower(g("subject")), F.lower(g("predicate")))))
     words = F.array_join(F.slice(tokens(F.col("payload")), 1, 8), " ")
     return live(atoms).dropDuplicates(["id"]).select("id", F.coalesce(sp, F.lower(F.nullif(g("name"), F.lit(""))), words).alias("cluster"))
@@ -77,7 +77,7 @@ def contradictions(atoms: DataFrame) -> DataFrame:
 
 def rendered(atoms: DataFrame) -> DataFrame:
     """(id, text): the claim, else name, description, summary, else the whole payload; empty texts are passed over."""
-    g = lambda f: F.get_json_object("payload", f"$.{f}")
+    g = lambda f: F.get_json_object(parsed(), f"$.{f}")
     return atoms.dropDuplicates(["id"]).select("id", F.coalesce(first_filled(g("claim"), g("name"), g("description"), g("summary")), F.col("payload")).alias("text"))
 
 
@@ -124,7 +124,7 @@ def cohorts(atoms: DataFrame, least: int) -> DataFrame:
 def shape_violations(atoms: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """(id, rule): rules are (type, rule id, SQL condition over payload that must hold), all checked in one pass."""
     checks = F.array(*[F.when((F.col("type") == t) & ~F.coalesce(F.expr(cond), F.lit(False)), F.lit(rule)) for t, rule, cond in rules])
-    return live(atoms).dropDuplicates(["id"]).select("id", F.explode(F.array_compact(checks)).alias("rule"))
+    return live(atoms).dropDuplicates(["id"]).withColumn("payload", parsed()).select("id", F.explode(F.array_compact(checks)).alias("rule"))
 
 
 def required(*fields: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.functions.records import parsed
 from corvane.operators.quality import live
 
 
@@ -46,7 +47,7 @@ def shared_items(views: DataFrame, parties: int) -> DataFrame:
 
 def projection(messages: DataFrame) -> DataFrame:
     """(conversation_id, sequence, id, actor, role, in_reply_to): message rows flattened, repeated ids once."""
-    g = lambda f: F.get_json_object("payload", f"$.{f}")
+    g = lambda f: F.get_json_object(parsed(), f"$.{f}")
     cid, seq = F.coalesce("conversation_id", g("conversation_id")), F.coalesce("sequence", g("sequence").try_cast("bigint"))
     m = messages.where("id is not null").select(cid.alias("conversation_id"), seq.alias("sequence"), "id", g("actor_ref").alias("actor"), F.lower(F.trim(g("role"))).alias("role"), g("in_reply_to").alias("in_reply_to"))
     return m.distinct()

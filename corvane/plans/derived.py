@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.functions.records import confidence
+from corvane.functions.records import confidence, parsed
 from corvane.operators import derive, graph, latent, plugins, quality, text_index
 from corvane.plans.store import _CONF, A, E, atoms, docs, edges
 from corvane.sources import table
@@ -112,6 +112,13 @@ def filled_fields(s, d):
     return a.select("id", F.size(F.filter(F.array(*g), lambda x: F.coalesce(x, F.lit("")) != "")).alias("n"))
 
 
+@query(SQL["filled_fields"].replace(" WHERE payload IS NULL OR json_valid(payload)", ""))
+def filled_fields_all(s, d):
+    g = [F.get_json_object(parsed(), f"$.{f}") for f in ("subject", "claim", "summary", "description")]
+    a = quality.live(atoms(s, d)).dropDuplicates(["id"])
+    return a.select("id", F.size(F.filter(F.array(*g), lambda x: F.coalesce(x, F.lit("")) != "")).alias("n"))
+
+
 @query("SELECT target_ref AS id, recreation_policy AS policy FROM (SELECT DISTINCT ON (target_ref) target_ref, recreation_policy FROM tombstones ORDER BY target_ref, created_at DESC, recreation_policy DESC) WHERE target_ref IN (SELECT id FROM atoms WHERE NOT deleted)")
 def tombstone_block(s, d):
     t = table(s, d, "tombstones").groupBy(F.col("target_ref").alias("id")).agg(F.max(F.struct("created_at", F.col("recreation_policy").alias("policy"))).alias("m"))

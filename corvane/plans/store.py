@@ -211,6 +211,11 @@ def rendered_text(s, d):
     return quality.rendered(atoms(s, d).where(F.try_parse_json("payload").isNotNull()))
 
 
+@query(SQL["rendered_text"].replace(" FROM atoms WHERE json_valid(payload))", " FROM atoms)"))
+def rendered_text_all(s, d):
+    return quality.rendered(atoms(s, d))
+
+
 # ----------------------------------------------------------------------------------- counts and integrity
 @query("SELECT type, lifecycle_state, health_status, count(*) AS n FROM (SELECT DISTINCT ON (id) * FROM atoms) GROUP BY ALL")
 def group_counts(s, d):
@@ -272,6 +277,11 @@ def cluster_keys(s, d):
     return quality.clusters(quality.cluster_keys(atoms(s, d).where(F.try_parse_json("payload").isNotNull())))
 
 
+@query(SQL["cluster_keys"].replace("payload::json AS p", "CASE WHEN json_valid(payload) THEN payload::json END AS p").replace(" WHERE json_valid(payload)))", "))"))
+def cluster_keys_all(s, d):
+    return quality.clusters(quality.cluster_keys(atoms(s, d)))
+
+
 @query(f"""
 WITH g AS (SELECT id, type, scope, regexp_replace(lower(trim(nullif(p->>'$.subject', ''))), '[\\s_-]+', '_', 'g') AS subject, regexp_replace(lower(trim(nullif(p->>'$.predicate', ''))), '[\\s_-]+', '_', 'g') AS predicate, nullif(p->>'$.value', '') AS v,
   coalesce('' || (scope->>'$.tenant') || (scope->>'$.workspace'), '') AS sc FROM (SELECT *, payload::json AS p FROM {A} WHERE json_valid(payload)))
@@ -300,6 +310,11 @@ def shape_violations(s, d):
     return quality.shape_violations(atoms(s, d).where(F.col("payload").isNull() | F.try_parse_json("payload").isNotNull()), RULES)
 
 
+@query(SQL["shape_violations"].replace(" WHERE payload IS NULL OR json_valid(payload)", ""))
+def shape_violations_all(s, d):
+    return quality.shape_violations(atoms(s, d), RULES)
+
+
 @query(f"SELECT id, CASE WHEN lifecycle_state = 'archived' AND x >= 7 THEN 'delete_archived' WHEN lifecycle_state = 'superseded' AND x >= 7 THEN 'delete_superseded' WHEN health_status = 'stale' AND x >= 14 THEN 'delete_stale' END AS action FROM (SELECT *, greatest(0, epoch(TIMESTAMP '{NOW}')::bigint - floor(epoch(coalesce(updated_at, created_at)))::bigint) / 86400.0 AS x FROM {A}) WHERE action IS NOT NULL")
 def retention_actions(s, d):
     return quality.retention_actions(atoms(s, d), NOW)
@@ -372,6 +387,12 @@ def reply_chain(s, d):
     return graph.reply_chain(m.select(F.col("id").alias("ref"), F.col("in_reply_to").alias("reply_to")), m.where("role = 'tool'").select(F.col("id").alias("start")), 6)
 
 
+@query(SQL["reply_chain"].replace(_MSG, _MSG_ALL).replace("ref, up FROM m WHERE ref IN", "ref, up, [ref] AS path FROM m WHERE ref IN").replace("m.ref, m.up FROM r", "m.ref, m.up, list_append(r.path, m.ref) FROM r").replace("r.step < 6", "r.step < 6 AND NOT list_contains(r.path, m.ref)"))
+def reply_chain_all(s, d):
+    m = views.projection(messages(s, d))
+    return graph.reply_chain(m.select(F.col("id").alias("ref"), F.col("in_reply_to").alias("reply_to")), m.where("role = 'tool'").select(F.col("id").alias("start")), 6)
+
+
 @query(f"""
 WITH RECURSIVE u AS (SELECT DISTINCT source_ref AS r, target_ref AS p FROM {E} WHERE relation = 'rel:derived_from'),
 w AS (SELECT r AS ref, p AS ancestor, 1 AS depth FROM u UNION SELECT w.ref, u.p, w.depth + 1 FROM w JOIN u ON u.r = w.ancestor WHERE w.depth < 8),
@@ -546,12 +567,22 @@ def interaction_projection(s, d):
     return views.projection(messages(s, d).where(F.try_parse_json("payload").isNotNull()))
 
 
+@query(SQL["interaction_projection"].replace(_MSG, _MSG_ALL))
+def interaction_projection_all(s, d):
+    return views.projection(messages(s, d))
+
+
 @query(f"SELECT id, array_to_string(list_filter([lag(id, 3) OVER w, lag(id, 2) OVER w, lag(id, 1) OVER w], lambda x: x IS NOT NULL), ',') AS preceding FROM {_MSG} WHERE conversation_id IS NOT NULL WINDOW w AS (PARTITION BY conversation_id ORDER BY sequence NULLS FIRST, id)")
 def stream_position(s, d):
     m = views.projection(messages(s, d).where(F.try_parse_json("payload").isNotNull())).where("conversation_id is not null")
     return views.stream_position(m).select("id", "preceding")
 
 
+@query(SQL["stream_position"].replace(_MSG, _MSG_ALL))
+def stream_position_all(s, d):
+    return views.stream_position(views.projection(messages(s, d)).where("conversation_id is not null")).select("id", "preceding")
+
+
 @query("WITH x AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w > 14400000000 THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), y AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM x) SELECT user_id, session::bigint AS session, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM y GROUP BY ALL")
 def event_sessions(s, d):
     return views.sessions(events_t(s, d), "user_id", "ts", 14400)

@@ -45,3 +45,17 @@ def test_texts_of_all_languages(spark, tmp_path):
     assert run(spark, tmp_path, "char_ngrams_all", documents=docs) == sorted([("^ab", 3), ("abc", 3), ("bc$", 3), ("^abc", 3), ("abc$", 3)])
     assert run(spark, tmp_path, "truncated_text_all") == [(4, ("x " * 40).strip() + "…")]
     assert [(r[0], r[3]) for r in run(spark, tmp_path, "packet_pack_all")] == [(1, True), (2, True), (3, True), (4, True)]
+
+
+def test_broken_payloads_count(spark, tmp_path):
+    broken = ['{"claim": "x"', '{"claim": "x"} y', None]
+    atoms = ([(f"b{i}", "belief", p, False) for i, p in enumerate([*broken, '{"claim": "x"}'])], "id string, type string, payload string, deleted boolean")
+    assert run(spark, tmp_path, "shape_violations_all", atoms=atoms) == [(f"b{i}", "belief.claim") for i in range(3)]
+    assert run(spark, tmp_path, "rendered_text_all") == [("b0", broken[0]), ("b1", broken[1]), ("b2", None), ("b3", "x")]
+    assert run(spark, tmp_path, "filled_fields_all") == [("b0", 0), ("b1", 0), ("b2", 0), ("b3", 1)]
+    assert run(spark, tmp_path, "cluster_keys_all") == [("claim x", 2, "b0")]
+    ok = '{"role": "tool", "in_reply_to": "m2"}'
+    said = ([("m1", "c", 1, ok), ("m2", "c", 2, "{broken"), ("m3", "c", 3, None), ("m4", "c", 4, ok)], "id string, conversation_id string, sequence bigint, payload string")
+    assert run(spark, tmp_path, "stream_position_all", interaction_event=said) == [("m1", ""), ("m2", "m1"), ("m3", "m1,m2"), ("m4", "m1,m2,m3")]
+    assert len(run(spark, tmp_path, "interaction_projection_all")) == 4
+    assert run(spark, tmp_path, "reply_chain_all") == [("m1", 0, "m1"), ("m1", 1, "m2"), ("m4", 0, "m4"), ("m4", 1, "m2")]
