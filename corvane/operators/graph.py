@@ -162,6 +162,59 @@ def roots(ancestors: DataFrame) -> DataFrame:
     return ancestors.join(inner, "ancestor", "left_anti").select("ref", F.col("ancestor").alias("root"))
 
 
+def root_paths(edges: DataFrame, atoms: DataFrame, depth: int = 64) -> DataFrame:
+    """(ref, path, cycle): all ways of each live record up its parent_links() to a record without parents, or, with
+    cycle, back to a record already on the way. Ways to what is no record end in nothing. Paths are written out one
+    by one, as the reference does; their number grows with the links between levels."""
+    ws = Workspace(edges.sparkSession, "paths")
+    known = atoms.select(F.col("id").alias("up")).distinct().withColumn("known", F.lit(True))
+    up = ws.save(parent_links(edges, atoms).join(known, "up", "left").select("r", "up", F.coalesce("known", F.lit(False)).alias("known")), "up")
+    at = atoms.where(~F.coalesce("deleted", F.lit(False))).select(F.col("id").alias("ref")).distinct().select("ref", F.array("ref").alias("path"))
+    out = None
+    for i in range(depth + 1):
+        links = up if i < depth else up.limit(0)
+        j = ws.save(at.join(links, F.element_at("path", -1) == F.col("r"), "left"), "step")
+        loop = F.array_contains("path", F.col("up"))
+        ends = j.where("r is null").select("ref", "path", F.lit(False).alias("cycle"))
+        ends = ends.unionByName(j.where(loop).select("ref", F.concat("path", F.array("up")).alias("path"), F.lit(True).alias("cycle")))
+        out = ends if out is None else out.unionByName(ends)
+        at = j.where(F.col("known") & ~loop).select("ref", F.concat("path", F.array("up")).alias("path"))
+        if at.isEmpty():
+            break
+    return out
+
+
+def evidence_paths(paths: DataFrame, atoms: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(ref, path, root_ref, kind, independence_group, testimony_family): the ways of root_paths() that are no cycle,
+    led on to each evidence reference of their last record, which itself is the root if it has none."""
+    a = atoms.dropDuplicates(["id"]).select(F.col("id").alias("last"), "type", F.filter("evidence_refs", lambda x: x.isNotNull()).alias("refs"))
+    p = paths.where("not cycle").select("ref", "path", F.element_at("path", -1).alias("last")).join(a, "last").select("ref", "path", "last", "type", F.explode_outer("refs").alias("ev"))
+    filled = lambda f: F.nullif(F.get_json_object("payload", f"$.{f}"), F.lit(""))
+    e = evidence.dropDuplicates(["evidence_id"]).select(F.col("evidence_id").alias("ev"), F.coalesce(filled("independence_group"), F.nullif("source_ref", F.lit(""))).alias("g"), F.coalesce(filled("testimony_family"), F.nullif("source_type", F.lit(""))).alias("f"))
+    has, j = F.col("ev").isNotNull(), p.join(e, "ev", "left")
+    return j.select(
+        "ref", F.when(has, F.concat("path", F.array("ev"))).otherwise(F.col("path")).alias("path"), F.coalesce("ev", "last").alias("root_ref"), F.when(has, "evidence").otherwise("atom").alias("kind"),
+        F.coalesce(F.when(has, F.coalesce("g", "ev")), "last").alias("independence_group"), F.coalesce(F.when(has, F.col("f")).otherwise(F.nullif("type", F.lit(""))), F.lit("unknown")).alias("testimony_family"),
+    )
+
+
+def provenance(found: DataFrame, paths: DataFrame) -> DataFrame:
+    """(ref, roots, independence_groups, testimony_families, ancestry_depth, circular_support,
+    self_descendant_support): found are rows of evidence_paths(), paths those of root_paths()."""
+    n = lambda c: F.count_distinct(c)
+    per = found.groupBy("ref").agg(n("root_ref").alias("roots"), n("independence_group").alias("independence_groups"), n("testimony_family").alias("testimony_families"), F.max(F.size("path") - 1).alias("ancestry_depth"))
+    loops = paths.where("cycle").groupBy("ref").agg(F.max(F.element_at("path", -1) == F.col("ref")).alias("own"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    j = per.join(loops, "ref", "full")
+    return j.select("ref", *[zero(c) for c in per.columns[1:]], F.col("own").isNotNull().alias("circular_support"), F.coalesce("own", F.lit(False)).alias("self_descendant_support"))
+
+
+def common_ancestors(found: DataFrame) -> DataFrame:
+    """(ref, atom_ref, root_path_count): records between a record and its roots on more than one way."""
+    between = found.select("ref", F.explode(F.array_distinct(F.slice("path", F.lit(2), F.greatest(F.size("path") - 2, F.lit(0))))).alias("atom_ref"))
+    return between.groupBy("ref", "atom_ref").agg(F.count(F.lit(1)).alias("root_path_count")).where("root_path_count > 1")
+
+
 def closure(edges: DataFrame, seeds: DataFrame, mandatory: list[str], supporting: list[str], hops: int = 3) -> DataFrame:
     """(ref, hop, kind): what must come along with the seeds by mandatory relations, in both directions, up to so
     many hops, and around that one hop of supporting relations."""

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions.ids import canonical_json, digest
-from corvane.functions.records import confidence, parsed
+from corvane.functions.records import confidence, parsed, stripped
 from corvane.functions.text import first_filled, normal_label, tokens
 from corvane.functions.times import seconds_since
 
@@ -115,6 +115,30 @@ def partition_refs(atoms: DataFrame, evidence: DataFrame) -> DataFrame:
     return j.groupBy("id").agg(F.count("e").alias("exact"), F.count_if(F.col("e").isNull() & F.col("a").isNotNull()).alias("record"), F.count_if(F.col("e").isNull() & F.col("a").isNull()).alias("unresolved"))
 
 
+def reference_repairs(atoms: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(record_kind, record_ref, retained_evidence_refs, moved_source_refs, moved_unresolved_refs, source_refs,
+    unresolved_source_refs): records and links whose evidence_refs hold more than evidence, or a reference twice.
+
+    Ids of records move to source_refs, what nothing answers to unresolved_source_refs, behind those that the payload
+    of a record states already. Live active and proposed records, live active links.
+    """
+    a = live(atoms).where("lifecycle_state in ('active', 'proposed')").dropDuplicates(["id"])
+    e = live(edges).where("coalesce(lifecycle_state, 'active') = 'active'").dropDuplicates(["edge_id"])
+    stated = lambda f: F.from_json(F.get_json_object(parsed(), f"$.{f}"), "array<string>")
+    none = F.lit(None).cast("array<string>")
+    rows = a.select(F.lit("atom").alias("record_kind"), F.col("id").alias("record_ref"), "evidence_refs", stated("source_refs").alias("had"), stated("unresolved_source_refs").alias("open"))
+    rows = rows.unionByName(e.select(F.lit("edge").alias("record_kind"), F.col("edge_id").alias("record_ref"), "evidence_refs", none.alias("had"), none.alias("open")))
+    refs = rows.select("record_kind", "record_ref", F.posexplode("evidence_refs").alias("pos", "ref")).withColumn("ref", stripped(F.col("ref"))).where("ref <> ''")
+    refs = refs.groupBy("record_kind", "record_ref", "ref").agg(F.min("pos").alias("pos"))
+    j = refs.join(evidence.select(F.col("evidence_id").alias("ref")).distinct().withColumn("e", F.lit(True)), "ref", "left").join(atoms.select(F.col("id").alias("ref")).distinct().withColumn("a", F.lit(True)), "ref", "left")
+    part = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("pos", "ref")))), lambda x: x["ref"])
+    parts = j.groupBy("record_kind", "record_ref").agg(part(F.col("e").isNotNull()).alias("kept"), part(F.col("e").isNull() & F.col("a").isNotNull()).alias("moved"), part(F.col("e").isNull() & F.col("a").isNull()).alias("lost"))
+    empty = F.array().cast("array<string>")
+    r = rows.join(parts, ["record_kind", "record_ref"], "left").withColumns({c: F.coalesce(c, empty) for c in ("evidence_refs", "kept", "moved", "lost", "had", "open")})
+    both = lambda x, y: F.filter(F.array_distinct(F.concat(x, y)), lambda v: v.isNotNull() & (v != ""))
+    return r.where(~F.col("kept").eqNullSafe(F.col("evidence_refs"))).select("record_kind", "record_ref", F.col("kept").alias("retained_evidence_refs"), F.col("moved").alias("moved_source_refs"), F.col("lost").alias("moved_unresolved_refs"), both("had", "moved").alias("source_refs"), both("open", "lost").alias("unresolved_source_refs"))
+
+
 def cohorts(atoms: DataFrame, least: int) -> DataFrame:
     """(cohort, n, best): records of one type and tenant; the member of highest utility, ties by id."""
     a = live(atoms).dropDuplicates(["id"]).select("id", F.concat_ws("/", "type", F.get_json_object("scope", "$.tenant")).alias("cohort"), F.coalesce("utility", F.lit(0.0)).alias("u"))

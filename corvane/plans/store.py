@@ -410,6 +410,32 @@ def ancestry_roots(s, d):
     return graph.roots(graph.ancestry(graph.live_edges(edges(s, d)), atoms=atoms(s, d)))
 
 
+def _root_paths(s, d):
+    paths = graph.root_paths(graph.live_edges(edges(s, d)), atoms(s, d))
+    return paths, graph.evidence_paths(paths, atoms(s, d), evidence(s, d))
+
+
+@query()
+def provenance_roots(s, d):
+    return _root_paths(s, d)[1].drop("path").distinct()
+
+
+@query()
+def provenance_summary(s, d):
+    paths, found = _root_paths(s, d)
+    return graph.provenance(found, paths)
+
+
+@query()
+def provenance_common_ancestors(s, d):
+    return graph.common_ancestors(_root_paths(s, d)[1])
+
+
+@query()
+def reference_repairs(s, d):
+    return quality.reference_repairs(atoms(s, d), edges(s, d), evidence(s, d))
+
+
 @query(f"""
 WITH e AS {E}, adj AS (SELECT source_ref AS a, target_ref AS b FROM e WHERE relation IN ('rel:supersedes', 'rel:contradicts') UNION SELECT target_ref, source_ref FROM e WHERE relation IN ('rel:supersedes', 'rel:contradicts')),
 z AS (SELECT DISTINCT source_ref AS ref FROM e WHERE relation = 'rel:contradicts'),

@@ -59,3 +59,16 @@ def test_broken_payloads_count(spark, tmp_path):
     assert run(spark, tmp_path, "stream_position_all", interaction_event=said) == [("m1", ""), ("m2", "m1"), ("m3", "m1,m2"), ("m4", "m1,m2,m3")]
     assert len(run(spark, tmp_path, "interaction_projection_all")) == 4
     assert run(spark, tmp_path, "reply_chain_all") == [("m1", 0, "m1"), ("m1", 1, "m2"), ("m4", 0, "m4"), ("m4", 1, "m2")]
+
+
+def test_provenance_and_reference_repair(spark, tmp_path):
+    atoms = ([(i, "belief", p, r, False, "active") for i, p, r in (("a", '{"source_refs": ["b", "c"]}', ["e1", "b", "gone", "b"]), ("b", None, None), ("c", None, None), ("d", None, ["e1", "e2"]), ("f", None, None), ("l", None, None))], "id string, type string, payload string, evidence_refs array<string>, deleted boolean, lifecycle_state string")
+    links = [("b", "d"), ("c", "d"), ("c", "f"), ("c", "nothing"), ("l", "l")]
+    edges = ([(f"x{i}", s, t, "rel:derived_from", ["e1"] if i else ["a"], False, "active") for i, (s, t) in enumerate(links)], "edge_id string, source_ref string, target_ref string, relation string, evidence_refs array<string>, deleted boolean, lifecycle_state string")
+    evidence = ([("e1", "web", "s1", '{"independence_group": "g"}'), ("e2", "log", "s2", '{"testimony_family": "t"}')], "evidence_id string, source_type string, source_ref string, payload string")
+    got = run(spark, tmp_path, "provenance_roots", atoms=atoms, edges=edges, evidence=evidence)
+    assert [r[1:] for r in got if r[0] == "a"] == [("e1", "evidence", "g", "web"), ("e2", "evidence", "s2", "t"), ("f", "atom", "f", "belief")]
+    summary = {r[0]: r[1:] for r in run(spark, tmp_path, "provenance_summary")}
+    assert summary["a"] == (3, 3, 3, 3, False, False) and summary["f"] == (1, 1, 1, 0, False, False) and summary["l"] == (0, 0, 0, 0, True, True)
+    assert [r[1:] for r in run(spark, tmp_path, "provenance_common_ancestors") if r[0] == "a"] == [("b", 2), ("c", 3), ("d", 4)]
+    assert run(spark, tmp_path, "reference_repairs") == [("atom", "a", ["e1"], ["b"], ["gone"], ["b", "c"], ["gone"]), ("edge", "x0", [], ["a"], [], ["a"], [])]
