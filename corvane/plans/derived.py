@@ -81,7 +81,7 @@ def proposal_levels(s, d):
 def processor_proposals(s, d):
     r = plugins.Registry()
     r.register("intrinsic", plugins.missing_intrinsic_edges)
-    p = plugins.committable(r.run({"atoms": atoms(s, d).withColumn("payload", F.lit("{}")), "edges": edges(s, d)}))
+    p = plugins.committable(r.run({"atoms": atoms(s, d), "edges": edges(s, d)}))
     return p.select("source_ref", "target_ref", "relation")
 
 

@@ -257,8 +257,7 @@ def exact_dedupe(s, d):
 
 @query(f"WITH a AS (SELECT id, created_at, coalesce(type, '') || chr(1) || coalesce(payload, '') || chr(1) || coalesce(scope, '') AS k FROM {A} WHERE payload IS NULL OR NOT json_valid(payload)) SELECT id, kept FROM (SELECT id, first_value(id) OVER (PARTITION BY k ORDER BY created_at NULLS FIRST, id) AS kept FROM a) WHERE id <> kept")
 def unparsable_dedupe(s, d):
-    a = atoms(s, d).where(F.try_parse_json("payload").isNull())
-    return quality.exact_duplicates(a)
+    return quality.exact_duplicates(atoms(s, d))
 
 
 @query(f"WITH g AS (SELECT id, json_extract_string(payload, '$.retention.deduplication_key') AS k, coalesce(utility, 0) AS u, coalesce(updated_at, TIMESTAMP '1970-01-01') AS t0 FROM {A} WHERE json_valid(payload)) SELECT id, kept FROM (SELECT id, first_value(id) OVER (PARTITION BY k ORDER BY u DESC, t0 DESC, id) AS kept FROM g WHERE k IS NOT NULL) WHERE id <> kept")

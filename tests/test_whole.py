@@ -72,3 +72,11 @@ def test_provenance_and_reference_repair(spark, tmp_path):
     assert summary["a"] == (3, 3, 3, 3, False, False) and summary["f"] == (1, 1, 1, 0, False, False) and summary["l"] == (0, 0, 0, 0, True, True)
     assert [r[1:] for r in run(spark, tmp_path, "provenance_common_ancestors") if r[0] == "a"] == [("b", 2), ("c", 3), ("d", 4)]
     assert run(spark, tmp_path, "reference_repairs") == [("atom", "a", ["e1"], ["b"], ["gone"], ["b", "c"], ["gone"]), ("edge", "x0", [], ["a"], [], ["a"], [])]
+
+
+def test_proposals_and_duplicates_of_whole_records(spark, tmp_path):
+    rows = [("a", "belief", '{"x": 1, "source_refs": ["b"]}', None, False, "active"), ("b", "belief", '{"y": 1, "z": 2}', None, False, "active"), ("c", "belief", '{"z": 2, "y": 1}', None, False, "active"), ("d", "belief", "{broken", None, False, "active"), ("e", "belief", "{broken", None, False, "active")]
+    atoms = ([(*r, None, None) for r in rows], "id string, type string, payload string, supersedes array<string>, deleted boolean, lifecycle_state string, scope string, created_at timestamp")
+    edges = ([], "edge_id string, source_ref string, target_ref string, relation string, deleted boolean, lifecycle_state string")
+    assert run(spark, tmp_path, "processor_proposals", atoms=atoms, edges=edges) == [("a", "b", "rel:derived_from")]
+    assert run(spark, tmp_path, "unparsable_dedupe") == [("c", "b"), ("e", "d")]
