@@ -181,6 +181,12 @@ def cosine_topk(s, d):
     return e.select("vec_id", sim.alias("x")).orderBy(F.desc("x"), "vec_id").limit(20).select("vec_id", F.round("x", 6).alias("sim"))
 
 
+@query("SELECT query_id, vec_id, round(sim, 6) AS sim FROM (SELECT query_id, vec_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS n FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) AS sim FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE n <= 20")
+def cosine_topk_all(s, d):
+    e = table(s, d, "embeddings")
+    return vectors.nearest_all(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 20).withColumn("sim", F.round("sim", 6))
+
+
 # ---------------------------------------------------------------------------------------- ids and records
 @query("SELECT DISTINCT id, sha256('{\"tenant\":\"' || json_extract_string(scope, '$.tenant') || '\",\"workspace\":\"' || json_extract_string(scope, '$.workspace') || '\"}') AS digest FROM atoms WHERE json_array_length(json_keys(scope)) = 2 AND json_exists(scope, '$.tenant') AND json_exists(scope, '$.workspace')")
 def scope_digest(s, d):

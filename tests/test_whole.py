@@ -1,6 +1,7 @@
 """Whole results: what lies beyond a neighbour, a depth, a language or a payload that parses."""
 
 import __spark_entry__ as entry
+from corvane.functions import vectors
 from corvane.operators import graph
 
 FACET = "facet_id string, atom_ref string, subject string, context string, intent string, direction string, confidence double, time_index int"
@@ -80,3 +81,11 @@ def test_proposals_and_duplicates_of_whole_records(spark, tmp_path):
     edges = ([], "edge_id string, source_ref string, target_ref string, relation string, deleted boolean, lifecycle_state string")
     assert run(spark, tmp_path, "processor_proposals", atoms=atoms, edges=edges) == [("a", "b", "rel:derived_from")]
     assert run(spark, tmp_path, "unparsable_dedupe") == [("c", "b"), ("e", "d")]
+
+
+def test_every_hundredth_vector_asks(spark, tmp_path):
+    e = ([(100, [1.0, 0.0]), (200, [0.0, 2.0]), (7, [3.0, 0.0]), (8, None)], "vec_id bigint, embedding array<float>")
+    got = run(spark, tmp_path, "cosine_topk_all", embeddings=e)
+    assert [r for r in got if r[2] > 0] == [(100, 7, 1.0), (100, 100, 1.0), (200, 200, 1.0)] and len(got) == 8
+    df = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(map(tuple, vectors.nearest_all(df, df.where("vec_id >= 100"), "vec_id", "embedding", 1, 1, 1).collect())) == [(100, 7, 1.0), (200, 200, 1.0)]
