@@ -17,6 +17,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(_vectors(spark, d))
 
 
+def p3_top5(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(_vectors(spark, d)).select("token", "rank", "other", F.round("sim", 4).alias("sim"))
+
+
 def _fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return survivors.fuse(table(spark, d, "atoms"), table(spark, d, "placeholder_terms"))
 
@@ -67,8 +71,9 @@ w AS (SELECT token, list_transform(x, lambda e: coalesce(e, 0.0)) AS x FROM v WH
 s AS (
   SELECT a.token, b.token AS other, list_cosine_similarity(a.x, b.x) AS sim FROM w a JOIN w b ON a.token <> b.token
   QUALIFY row_number() OVER (PARTITION BY a.token ORDER BY sim DESC, b.token) <= 5)
-SELECT DISTINCT least(token, other) AS token_a, greatest(token, other) AS token_b FROM s WHERE sim >= 0.9
 """
+_P3_PAIRS = _P3 + "SELECT DISTINCT least(token, other) AS token_a, greatest(token, other) AS token_b FROM s WHERE sim >= 0.9"
+_P3_TOP = _P3 + "SELECT token, row_number() OVER (PARTITION BY token ORDER BY sim DESC, other)::int AS rank, other, round(least(sim, 1.0), 4) AS sim FROM s"
 
 _P5 = """
 WITH a AS (
@@ -103,6 +108,6 @@ k AS (
 SELECT c AS conversation_id, s AS turn, id AS event_ref, who AS speaker_role FROM m WHERE c IN (SELECT c FROM k)
 """
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_values": p5_values, "p6_found": p6_found, "p6_conversations": p6_conversations, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p3_top5": p3_top5, "p5_found": p5_found, "p5_values": p5_values, "p6_found": p6_found, "p6_conversations": p6_conversations, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
-SQL: dict[str, str] = {"p3_found": _P3, "p5_found": _P5, "p6_found": f"SELECT conversation_id, turn, event_ref FROM ({_P6})", "p6_conversations": _P6}
+SQL: dict[str, str] = {"p3_found": _P3_PAIRS, "p3_top5": _P3_TOP, "p5_found": _P5, "p6_found": f"SELECT conversation_id, turn, event_ref FROM ({_P6})", "p6_conversations": _P6}

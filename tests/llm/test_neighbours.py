@@ -25,7 +25,7 @@ def test_recall_of_the_lists(spark):
     x = centres[rng.integers(0, 40, 6000)] + 0.8 * rng.normal(size=(6000, 64))
     names = [f"t{i:05d}" for i in range(len(x))]
     got: dict = {}
-    for r in N.nearest(frame(spark, [(n, v.tolist()) for n, v in zip(names, x)]), list_size=512, sample=2000).collect():
+    for r in N.nearest(frame(spark, [(n, v.tolist()) for n, v in zip(names, x)]), list_size=512, asked=500).collect():
         got.setdefault(r.token, set()).add(r.other)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
@@ -40,19 +40,17 @@ def test_graph_search_finds_the_nearest_centres():
     c = rng.normal(size=(3000, 64))
     c /= np.linalg.norm(c, axis=1, keepdims=True)
     g, q = N.CentreGraph(c), c[:300] + 0.05 * rng.normal(size=(300, 64))
-    ids, _ = g.search(q)
+    ids, _ = g.search(q, 12)
     assert (ids[:, 0] == np.arange(300)).mean() > 0.95
 
 
-def test_copies_ties_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(N, "ITEM_BLOCK", 16)
-    monkeypatch.setattr(N, "QUERY_BLOCK", 16)
+def test_copies_ties_and_blocks(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=64)
     rows = [(f"copy{i:02d}", (base * (i + 1)).tolist()) for i in range(9)]
     rows += [(f"r{i:03d}", rng.normal(size=64).tolist()) for i in range(150)]
     got: dict = {}
-    for r in N.nearest(frame(spark, rows)).collect():
+    for r in N.nearest(frame(spark, rows), block=16).collect():
         got.setdefault(r.token, []).append((r.rank, r.other))
     assert [o for _, o in sorted(got["copy08"])] == [f"copy{i:02d}" for i in range(5)]
     assert [o for _, o in sorted(got["copy00"])] == [f"copy{i:02d}" for i in range(1, 6)]
@@ -63,6 +61,29 @@ def test_copies_ties_and_blocks(spark, monkeypatch):
     assert N.nearest(frame(spark, [])).count() == 0 and N.nearest(frame(spark, rows[:1])).count() == 0
 
 
+def test_default_recall_on_vectors_without_structure_and_the_exact_mode(spark):
+    x = np.random.default_rng(9).normal(size=(5000, 64))
+    names = [f"t{i:05d}" for i in range(len(x))]
+    df = frame(spark, [(n, v.tolist()) for n, v in zip(names, x)])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {n: [names[j] for j in row] for n, row in zip(names, np.argpartition(-s, 4, axis=1)[:, :5])}
+    for options, least in (({"list_size": 128}, 0.9), ({"exact": True, "block": 1000}, 1.0)):
+        got: dict = {}
+        for r in N.nearest(df, **options).collect():
+            got.setdefault(r.token, []).append((r.rank, r.other))
+        assert sum(len({o for _, o in got[n]} & set(want[n])) for n in names) / (5 * len(names)) >= least
+        assert all(len(v) == 5 for v in got.values())
+
+
+def test_ties_beyond_k_go_to_the_smaller_token(spark):
+    unit = np.eye(64)
+    rows = [("q", (unit[0] + unit[1]).tolist())] + [(f"n{i:02d}", (unit[0] + unit[2 + i]).tolist()) for i in range(30)]
+    got = sorted((r.rank, r.other) for r in N.nearest(frame(spark, rows), block=8).where("token = 'q'").collect())
+    assert [o for _, o in got] == [f"n{i:02d}" for i in range(5)]
+
+
 def test_usable_vectors(spark):
     good = [0.5] * 64
     j = lambda v: json.dumps(v)
