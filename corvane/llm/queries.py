@@ -49,12 +49,18 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(table(spark, d, "documents"), ["doc_id"])
 
 
-def _capacity(spark: SparkSession, d: str, budget: str) -> int:
-    return int(table(spark, d, "token_budgets").where(F.col("budget_name") == budget).agg(F.max("capacity_tokens")).first()[0])
+def _budgets(spark: SparkSession, d: str) -> dict[str, int]:
+    """The budgets by name, the largest capacity where a name comes again; a small fixed table."""
+    t = table(spark, d, "token_budgets").where("budget_name is not null and capacity_tokens > 0")
+    return {r[0]: int(r[1]) for r in t.groupBy("budget_name").agg(F.max("capacity_tokens")).collect()}
 
 
-def p8_containers(spark: SparkSession, d: str, budget: str = "frame") -> DataFrame:
-    return packing.pack(table(spark, d, "documents"), _capacity(spark, d, budget))
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_all(table(spark, d, "documents"), _budgets(spark, d))
+
+
+def p8_waste(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, d), _budgets(spark, d))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -108,6 +114,6 @@ k AS (
 SELECT c AS conversation_id, s AS turn, id AS event_ref, who AS speaker_role FROM m WHERE c IN (SELECT c FROM k)
 """
 
-QUERIES = {"p3_found": p3_found, "p3_top5": p3_top5, "p5_found": p5_found, "p5_values": p5_values, "p6_found": p6_found, "p6_conversations": p6_conversations, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p3_top5": p3_top5, "p5_found": p5_found, "p5_values": p5_values, "p6_found": p6_found, "p6_conversations": p6_conversations, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_waste": p8_waste, "p9_found": p9_found}
 
 SQL: dict[str, str] = {"p3_found": _P3_PAIRS, "p3_top5": _P3_TOP, "p5_found": _P5, "p6_found": f"SELECT conversation_id, turn, event_ref FROM ({_P6})", "p6_conversations": _P6}
