@@ -1,32 +1,36 @@
 """Problem 9: one consistent form for text that looks the same but is written with different characters.
 
-A batch of texts is exploded to positioned code points (one flat array, the document's range beside it). Each
-code point is joined with its replacement: compatibility decomposition, then look-alike letters, kinds of space
-and of hyphen, and nothing for invisible characters. Combining marks are put in order of their class, letters and
-marks are composed again, and the strings are rebuilt. All steps run on whole arrays; nothing is shuffled. The
-replacement of a code point follows from Unicode's tables by rule, only the look-alikes are listed.
+1. A text is exploded to positioned code points. Runs of printable ASCII stand for themselves under every rule
+   below, so a run travels as one positioned piece; only its last character, which a mark may follow, is exploded.
+2. A broadcast join replaces each code point: compatibility decomposition, look-alike letters, kinds of space and of
+   hyphen, nothing for what cannot be seen. The table follows from Unicode's data by rule, its size is checked.
+3. A letter and the marks behind it form a segment; the marks are put in order of their combining class.
+4. A second broadcast join composes whole segments; what is not in its table is composed mark by mark.
+5. Segments are put together again in order of their positions.
+
+Texts are partitioned by key once; explosion, both joins, the segments and the strings stay inside the partition.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from functools import cache
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.session import Workspace, spread
+from corvane.session import Workspace
 
 #: Letters of other scripts that look like a Latin letter, and that letter.
 LOOKALIKES = {
     # Cyrillic, small
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j",
-    "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ү": "y", "ԍ": "g",
+    "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ү": "y", "ԍ": "g", "ѵ": "v",
     # Cyrillic, capital
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T",
-    "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G", "Ү": "Y", "Ӏ": "I",
+    "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G", "Ү": "Y", "Ӏ": "I", "Ѵ": "V",
     # Greek, small
     "α": "a", "γ": "y", "ι": "i", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "χ": "x", "κ": "k", "ϲ": "c", "ϳ": "j",
     # Greek, capital
@@ -34,179 +38,183 @@ LOOKALIKES = {
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
     # Armenian
     "օ": "o", "ո": "n", "ս": "u", "հ": "h", "զ": "q", "ց": "g", "Օ": "O", "Ս": "U", "Տ": "S", "Լ": "L",
+    # Coptic and Lisu, capital
+    "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲭ": "X", "Ⲕ": "K", "Ⲙ": "M", "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G",
+    "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V",
+    "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
     # Latin letters drawn like a plain one
-    "ɡ": "g", "ɑ": "a", "ı": "i", "ȷ": "j",
+    "ɡ": "g", "ɑ": "a",
 }
 #: Hyphens; dashes are longer and differ to a reader.
-HYPHENS = "\u2010\u2011\u2043\ufe63\uff0d"
+HYPHENS = "‐‑⁃﹣－"
 #: Characters without an outline that Unicode does not file under formats or controls.
-BLANKS = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
+BLANKS = "͏ᅟᅠ឴឵ㅤﾠ"
 
+#: A run of printable ASCII without its last character, or one code point.
+PIECE = r"[\x20-\x7e]+(?=[\x20-\x7e])|(?s:.)"
+#: Texts without a character that any rule could touch.
+PLAIN = r"\A[\x20-\x7e\n\t]*\z"
+VOWELS, TAILS = (0x1161, 0x1175), (0x11A8, 0x11C2)  # conjoining jamo that continue a syllable
+TABLE_LIMIT = 64 << 20  # bytes a broadcast table may take; both take less than 2 MB
 
-def replacement(cp: int) -> tuple[int, ...]:
-    """What a code point stands for: nothing if it cannot be seen, else decomposed and mapped code points."""
+
+def confusables(path: str) -> dict[str, str]:
+    """A mapping from a public file of confusables: lines of `code point ; code points ; kind`, # starts a comment.
+
+    Of each entry whose source is one code point and whose target is one Latin letter the target is taken.
+    """
+    out: dict[str, str] = {}
+    with open(path, encoding="utf-8-sig") as f:
+        for line in f:
+            fields = [x.strip() for x in line.split("#")[0].split(";")]
+            if len(fields) >= 2 and fields[0] and " " not in fields[0] and " " not in fields[1]:
+                source, target = chr(int(fields[0], 16)), chr(int(fields[1], 16))
+                if unicodedata.name(target, "").startswith("LATIN") and source > "\x7f":
+                    out[source] = target
+    return out
+
+
+def replacement(cp: int, letters: dict[str, str] = LOOKALIKES) -> str:
+    """What a code point stands for: nothing if it cannot be seen, else decomposed and mapped code points.
+
+    Precomposed Hangul syllables stay whole; jamo are composed to them.
+    """
     ch = chr(cp)
     if ch in "\n\t":
-        return (cp,)
-    if ch in "\r\u2028\u2029\u0085\x0b\x0c":
-        return (10,)
-    out: list[int] = []
+        return ch
+    if ch in "\r  \u0085\x0b\x0c":
+        return "\n"
+    if 0xAC00 <= cp <= 0xD7A3:
+        return ch
+    out = ""
     for c in unicodedata.normalize("NFKD", ch):
         kind = unicodedata.category(c)
         if kind in ("Cf", "Cc", "Cs") or c in BLANKS or 0xFE00 <= ord(c) <= 0xFE0F or 0xE0100 <= ord(c) <= 0xE01EF:
             continue
-        if kind == "Zs":
-            out.append(32)
-        elif c in HYPHENS:
-            out.append(45)
-        else:
-            out.append(ord(LOOKALIKES.get(c, c)))
-    return tuple(out)
-
-
-class Tables:
-    """Replacement, combining class and composition tables, filled as code points turn up."""
-
-    def __init__(self):
-        self.start = np.full(0x110000, -1, dtype=np.int64)
-        self.length = np.zeros(0x110000, dtype=np.int32)
-        self.flat = np.empty(0, dtype=np.uint32)
-        self.mark = np.full(0x110000, -1, dtype=np.int16)
-        pairs = {}
-        for cp in range(0xC0, 0x30000):
-            d = unicodedata.decomposition(chr(cp))
-            if d and d[0] != "<" and " " in d:
-                a, b = (int(x, 16) for x in d.split())
-                if unicodedata.normalize("NFC", chr(a) + chr(b)) == chr(cp):
-                    pairs[a << 21 | b] = cp
-        self.pair = np.array(sorted(pairs), dtype=np.int64)
-        self.composed = np.array([pairs[k] for k in sorted(pairs)], dtype=np.uint32)
-
-    def learn(self, cps: np.ndarray) -> None:
-        new = cps[self.start[cps] < 0]
-        at, more = len(self.flat), []
-        for cp in new.tolist():
-            r = replacement(cp)
-            self.start[cp], self.length[cp] = at + len(more), len(r)
-            more += r
-        if more:
-            self.flat = np.concatenate([self.flat, np.array(more, dtype=np.uint32)])
-
-    def classes(self, cps: np.ndarray) -> np.ndarray:
-        unknown = np.unique(cps[self.mark[cps] < 0])
-        for cp in unknown.tolist():
-            self.mark[cp] = unicodedata.combining(chr(cp))
-        return self.mark[cps]
-
-
-_tables: list[Tables] = []
-
-
-def tables() -> Tables:
-    if not _tables:
-        _tables.append(Tables())
-    return _tables[0]
-
-
-def _order_and_compose(t: Tables, cp: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marks sorted by class behind their letter, then letter and marks composed where a composed form exists."""
-    cls = t.classes(cp)
-    if not cls.any():
-        return cp, doc
-    first = np.concatenate([[True], doc[1:] != doc[:-1]])
-    seg = np.cumsum((cls == 0) | first) - 1
-    order = np.lexsort((np.arange(len(cp)), cls, seg))  # inside a segment the letter (class 0) stays in front
-    cp, doc, cls = cp[order], doc[order], cls[order]
-    head = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-    size = np.diff(np.append(head, len(cp)))
-    keep = np.ones(len(cp), dtype=bool)
-    at, n = head[(size > 1) & (cls[head] == 0)], size[(size > 1) & (cls[head] == 0)]
-    letter, last = cp[at].astype(np.int64), np.zeros(len(at), dtype=np.int16)  # last: class of the last mark left standing
-    for r in range(1, int(n.max()) + 1 if len(n) else 0):
-        run = np.flatnonzero(n > r)
-        if not len(run):
-            break
-        mark = at[run] + r
-        key = letter[run] << 21 | cp[mark]
-        i = np.minimum(np.searchsorted(t.pair, key), len(t.pair) - 1)
-        hit = (t.pair[i] == key) & (last[run] < cls[mark])
-        letter[run[hit]] = t.composed[i[hit]]
-        keep[mark[hit]] = False
-        last[run[~hit]] = cls[mark[~hit]]
-    cp = cp.copy()
-    cp[at] = letter
-    return cp[keep], doc[keep]
-
-
-def same_form(texts: list[str | None]) -> list[str | None]:
-    """The consistent form of each text; null stays null."""
-    t = tables()
-    full = [x or "" for x in texts]
-    cp = np.frombuffer("".join(full).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    doc = np.repeat(np.arange(len(full)), [len(x) for x in full])
-    crlf = np.flatnonzero((cp[:-1] == 13) & (cp[1:] == 10) & (doc[:-1] == doc[1:])) if len(cp) else []
-    if len(crlf):
-        cp, doc = np.delete(cp, crlf), np.delete(doc, crlf)
-    t.learn(np.flatnonzero(np.bincount(cp, minlength=1)) if len(cp) else np.empty(0, dtype=np.int64))
-    if len(cp):
-        n = t.length[cp]
-        total = np.cumsum(n)
-        inside = np.arange(int(total[-1])) - np.repeat(total - n, n)
-        doc = np.repeat(doc, n)
-        cp = t.flat[np.repeat(t.start[cp], n) + inside]
-    if len(cp):
-        cp, doc = _order_and_compose(t, cp, doc)
-    ends = np.cumsum(np.bincount(doc, minlength=len(full)))
-    joined = cp.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-    out: list[str | None] = []
-    begin = 0
-    for text, end in zip(texts, ends.tolist()):
-        if text is None:
-            out.append(None)
-        else:
-            s = joined[begin:end]
-            out.append(unicodedata.normalize("NFC", s) if any("ᄀ" <= c <= "ᇿ" for c in set(s)) else s)
-        begin = end
+        out += " " if kind == "Zs" else "-" if c in HYPHENS else letters.get(c, c)
     return out
 
 
-def unify(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep` and form: the text's consistent form.
+@cache
+def _replacements(letters: tuple[tuple[str, str], ...]) -> pa.Table:
+    """(piece, parts array<struct<c, k>>) of all code points that change or are marks; k: combining class, 1000 and
+    1001 for jamo that continue a syllable."""
+    by, rows = dict(letters), []
+    kind = lambda c: 1000 if VOWELS[0] <= ord(c) <= VOWELS[1] else 1001 if TAILS[0] <= ord(c) <= TAILS[1] else unicodedata.combining(c)
+    for cp in (*range(0x7F), *range(0x7F, 0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE0200)):
+        out = replacement(cp, by)
+        if out != chr(cp) or kind(chr(cp)):
+            rows.append({"piece": chr(cp), "parts": [{"c": c, "k": kind(c)} for c in out]})
+    return pa.Table.from_pylist(rows, schema=pa.schema([("piece", pa.string()), ("parts", pa.list_(pa.struct([("c", pa.string()), ("k", pa.int32())])))]))
+
+
+@cache
+def _compositions() -> tuple[pa.Table, dict[str, str]]:
+    """((segment, composed) of every composed code point, {letter and mark: composed}): what may be written as one."""
+    rows, pairs = [], {}
+    for cp in (*range(0xC0, 0xAC00), *range(0xF900, 0x30000)):
+        d = unicodedata.decomposition(chr(cp))
+        if d and d[0] != "<" and " " in d:
+            whole = unicodedata.normalize("NFD", chr(cp))
+            if unicodedata.normalize("NFC", whole) == chr(cp):
+                rows.append({"segment": whole, "composed": chr(cp)})
+                a, b = (chr(int(x, 16)) for x in d.split())
+                pairs[a + b] = chr(cp)
+    for cp in range(0xAC00, 0xD7A4):
+        rows.append({"segment": unicodedata.normalize("NFD", chr(cp)), "composed": chr(cp)})
+        if (cp - 0xAC00) % 28:
+            rows.append({"segment": chr(cp - (cp - 0xAC00) % 28) + chr(0x11A7 + (cp - 0xAC00) % 28), "composed": chr(cp)})
+    return pa.Table.from_pylist(rows, schema=pa.schema([("segment", pa.string()), ("composed", pa.string())])), pairs
+
+
+def _broadcast(spark: SparkSession, t: pa.Table) -> DataFrame:
+    if t.nbytes > TABLE_LIMIT:
+        raise ValueError(f"a mapping of {t.nbytes} bytes is too large to be broadcast")
+    return F.broadcast(spark.createDataFrame(t))
+
+
+def _stepwise(parts: Column) -> Column:
+    """parts: array<struct<k, at, j, c>>, a letter and its marks in order, composed mark by mark.
+
+    A mark joins the letter if the pair has a composed form and no mark of its class or a higher one stands between.
+    """
+    pairs = F.create_map(*[F.lit(x) for kv in sorted(_compositions()[1].items()) for x in kv])
+    start = F.struct(F.get(parts, F.lit(0))["c"].alias("letter"), F.lit("").alias("rest"), F.lit(0).alias("last"))
 
-    Null stays null, an empty text and one with nothing visible become empty or white space. Letter case, visible
-    accents, punctuation, line breaks and the number of spaces are kept.
+    def add(s: Column, m: Column) -> Column:
+        whole = F.when(s["last"] < m["k"], F.try_element_at(pairs, F.concat(s["letter"], m["c"])))
+        return F.struct(
+            F.coalesce(whole, s["letter"]).alias("letter"),
+            F.when(whole.isNull(), F.concat(s["rest"], m["c"])).otherwise(s["rest"]).alias("rest"),
+            F.when(whole.isNull(), m["k"]).otherwise(s["last"]).alias("last"),
+        )
+
+    return F.aggregate(F.slice(parts, 2, F.size(parts)), start, add, lambda s: F.concat(s["letter"], s["rest"]))
+
+
+def unify(df: DataFrame, key: str, text: str = "text", letters: dict[str, str] | None = None) -> DataFrame:
+    """(key, text, form): the text's consistent form, one row for each row of df with a text.
+
+    Rows with a null text are left out; an empty text and one with nothing visible have an empty or blank form.
+    Letter case, visible accents, punctuation, line breaks and the number of spaces are kept. letters: the look-alike
+    letters, by default LOOKALIKES; confusables() reads a larger mapping from a public file.
     """
-    src = spread(df.select(*keep, F.col(text).alias("__text")))
-    fields = ", ".join(f"`{c}` {t}" for c, t in src.dtypes if c != "__text")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.schema.get_field_index("__text")
-            texts = b.column(at).to_pylist()
-            out: list[str | None] = []
-            i = 0
-            while i < len(texts):  # about a million characters at a time, always whole texts
-                j, held = i, 0
-                while j < len(texts) and (j == i or held < 1_000_000):
-                    held += len(texts[j] or "")
-                    j += 1
-                out += same_form(texts[i:j])
-                i = j
-            cols = [c for k, c in enumerate(b.columns) if k != at]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string())], names=[*keep, "form"])
-
-    return src.mapInArrow(work, f"{fields}, form string")
-
-
-def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    spark = df.sparkSession
+    letters = LOOKALIKES if letters is None else letters
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    plain = rows.where(F.col("__text").rlike(PLAIN)).select("__key", "__text", F.col("__text").alias("form"))
+    odd = rows.where(~F.col("__text").rlike(PLAIN)).withColumn("id", F.struct(F.xxhash64("__key", "__text").alias("h"), F.monotonically_increasing_id().alias("n")))
+    odd = odd.repartition("id")
+    out_of_sight = _broadcast(spark, _replacements(tuple(sorted(letters.items()))))
+    lone = F.array(F.struct(F.col("piece").alias("c"), F.lit(0).alias("k")))
+    # a line break of two characters is one
+    pieces = odd.select("id", F.posexplode(F.regexp_extract_all(F.regexp_replace("__text", "\r\n", "\n"), F.lit(PIECE), F.lit(0))).alias("at", "piece"))
+    points = pieces.join(out_of_sight, "piece", "left").select("id", "at", F.posexplode(F.coalesce("parts", lone)).alias("j", "p")).select("id", "at", "j", "p.c", "p.k")
+    in_order = W.partitionBy("id").orderBy("at", "j")
+    before, last = F.lag("k").over(in_order), F.lag("c").over(in_order)
+    joins_on = ((F.col("k") == 1000) & last.between("ᄀ", "ᄒ")) | ((F.col("k") == 1001) & ((before == 1000) | last.between("가", "힣")))
+    # no composed form has jamo and a mark, so marks behind jamo are a segment of their own
+    starts = F.when(F.col("k") >= 1000, ~F.coalesce(joins_on, F.lit(False))).when(F.col("k") == 0, True).otherwise(F.coalesce(before >= 1000, F.lit(False)))
+    points = points.select("id", "at", "j", "c", "k", starts.alias("starts"))
+    points = points.withColumn("seg", F.sum(F.col("starts").cast("int")).over(in_order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    # inside a segment: the letter, jamo that continue it, then the marks by class; equal classes keep their order
+    rank = F.when(F.col("starts") & ((F.col("k") == 0) | (F.col("k") >= 1000)), -1).when(F.col("k") >= 1000, 0).otherwise(F.col("k")).cast("int")
+    segments = points.groupBy("id", "seg").agg(F.array_sort(F.collect_list(F.struct(rank.alias("k"), "at", "j", "c"))).alias("parts"))
+    segments = segments.withColumn("segment", F.array_join(F.transform("parts", lambda p: p["c"]), ""))
+    composed = segments.join(_broadcast(spark, _compositions()[0]), "segment", "left")
+    alone = (F.size("parts") == 1) | (F.get("parts", F.lit(0))["k"] >= 0)
+    composed = composed.select("id", "seg", F.coalesce("composed", F.when(alone, F.col("segment")).otherwise(_stepwise(F.col("parts")))).alias("s"))
+    forms = composed.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "s"))), lambda p: p["s"]), "").alias("form"))
+    made = odd.join(forms, "id", "left").select("__key", "__text", F.coalesce("form", F.lit("")).alias("form"))
+    return plain.unionByName(made).withColumnsRenamed({"__key": key, "__text": text})
+
+
+def _hashed(df: DataFrame, key: str, text: str, letters: dict[str, str] | None) -> DataFrame:
+    f = unify(df, key, text, letters).where(F.col("form").rlike(r"\S"))
+    f = f.select(F.col(key).alias("doc"), F.xxhash64("form").alias("f1"), F.xxhash64("form", F.lit(1)).alias("f2"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"))
+    return Workspace(df.sparkSession, "forms").save(f, "hashes")  # read several times, made once
+
+
+def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", letters: dict[str, str] | None = None) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: documents whose texts differ but have one consistent form.
 
     Texts are compared by two 64-bit hashes of form and text; identical texts, null texts and texts with nothing
     visible are no pair. A key that comes again with the same text counts once.
     """
-    f = unify(df.where(F.col(text).isNotNull()).select(key, text), [key, text], text)
-    f = f.where(F.col("form").rlike(r"\S")).select(F.col(key).alias("doc"), F.xxhash64("form").alias("f1"), F.xxhash64("form", F.lit(1)).alias("f2"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"))
-    return _pairs(Workspace(df.sparkSession, "forms").save(f, "hashes"))  # read three times, made once
+    return _pairs(_hashed(df, key, text, letters))
+
+
+def lookalike_classes(df: DataFrame, key: str = "doc_id", text: str = "text", letters: dict[str, str] | None = None) -> DataFrame:
+    """(doc, class_doc, text_doc, n_texts): a row for each document whose form is that of another text as well.
+
+    class_doc: the least document of the form, text_doc: the least one with the very same text, n_texts: how many
+    different texts share the form. This holds all that the pairs hold, without writing them out.
+    """
+    docs = _hashed(df, key, text, letters)
+    texts = docs.groupBy("f1", "f2", "t1", "t2").agg(F.min("doc").alias("text_doc"))
+    forms = texts.groupBy("f1", "f2").agg(F.min("text_doc").alias("class_doc"), F.count(F.lit(1)).alias("n_texts")).where("n_texts > 1")
+    j = docs.join(texts, ["f1", "f2", "t1", "t2"]).join(forms, ["f1", "f2"])
+    return j.select("doc", "class_doc", "text_doc", "n_texts").distinct()
 
 
 def _pairs(docs: DataFrame) -> DataFrame:

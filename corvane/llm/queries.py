@@ -67,6 +67,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "documents"))
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.lookalike_classes(table(spark, d, "documents"))
+
+
 _P3 = """
 WITH last AS (
   SELECT DISTINCT token, dimensions, vector_json FROM token_latent_vectors t
@@ -114,6 +118,6 @@ k AS (
 SELECT c AS conversation_id, s AS turn, id AS event_ref, who AS speaker_role FROM m WHERE c IN (SELECT c FROM k)
 """
 
-QUERIES = {"p3_found": p3_found, "p3_top5": p3_top5, "p5_found": p5_found, "p5_values": p5_values, "p6_found": p6_found, "p6_conversations": p6_conversations, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_waste": p8_waste, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p3_top5": p3_top5, "p5_found": p5_found, "p5_values": p5_values, "p6_found": p6_found, "p6_conversations": p6_conversations, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_waste": p8_waste, "p9_found": p9_found, "p9_classes": p9_classes}
 
 SQL: dict[str, str] = {"p3_found": _P3_PAIRS, "p3_top5": _P3_TOP, "p5_found": _P5, "p6_found": f"SELECT conversation_id, turn, event_ref FROM ({_P6})", "p6_conversations": _P6}
