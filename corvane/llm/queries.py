@@ -21,16 +21,16 @@ def p3_top5(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(_vectors(spark, d)).select("token", "rank", "other", F.round("sim", 4).alias("sim"))
 
 
-def _fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return survivors.fuse(table(spark, d, "atoms"), table(spark, d, "placeholder_terms"))
+EM_ROUNDS = 8  # a fixed number, so that the SQL twin can be unrolled; fused_values() by itself runs until nothing moves
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(spark, d)[0].select("dedupe_key", "field_name", "atom_id")
+    return survivors.survivors(table(spark, d, "atoms"), table(spark, d, "placeholder_terms")).select("dedupe_key", "field_name", "atom_id")
 
 
 def p5_values(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(spark, d)[1].withColumn("p_true", F.round("p_true", 6))
+    v = survivors.fused_values(table(spark, d, "atoms"), table(spark, d, "placeholder_terms"), rounds=EM_ROUNDS, close=0.0)
+    return v.withColumn("p_true", F.round("p_true", 6))
 
 
 def _conversations(spark: SparkSession, d: str) -> DataFrame:
@@ -85,17 +85,19 @@ s AS (
 _P3_PAIRS = _P3 + "SELECT DISTINCT least(token, other) AS token_a, greatest(token, other) AS token_b FROM s WHERE sim >= 0.9"
 _P3_TOP = _P3 + "SELECT token, row_number() OVER (PARTITION BY token ORDER BY sim DESC, other)::int AS rank, other, round(least(sim, 1.0), 4) AS sim FROM s"
 
-_P5 = """
+_P5_USABLE = """
 WITH a AS (
-  SELECT DISTINCT id, updated_at, payload::json AS j,
+  SELECT DISTINCT id, updated_at, coalesce(json_extract_string(scope, '$.tenant'), '') AS source, payload::json AS j,
     coalesce(confidence.score, CASE confidence.level WHEN 'low' THEN 0.2 WHEN 'low-medium' THEN 0.35 WHEN 'medium' THEN 0.5 WHEN 'medium-high' THEN 0.75 WHEN 'high' THEN 0.9 END, 0.5) AS conf
   FROM (SELECT * FROM atoms WHERE NOT coalesce(deleted, false) AND json_valid(payload))),
 b AS (SELECT *, json_extract_string(j, '$.retention.deduplication_key') AS k FROM a),
 g AS (SELECT * FROM b WHERE k IN (SELECT k FROM b WHERE k IS NOT NULL GROUP BY k HAVING count(DISTINCT id) > 1)),
 f AS (SELECT *, unnest(['subject', 'predicate', 'value', 'unit', 'claim', 'note']) AS field_name FROM g),
 v AS (
-  SELECT k, id, conf, updated_at, field_name, regexp_replace(json_extract_string(j, '$.' || field_name), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS x FROM f),
-u AS (SELECT * FROM v WHERE x IS NOT NULL AND x <> '' AND lower(x) NOT IN (SELECT term FROM placeholder_terms)),
+  SELECT k, id, source, conf, updated_at, field_name, regexp_replace(json_extract_string(j, '$.' || field_name), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS x FROM f),
+u AS (SELECT * FROM v WHERE x IS NOT NULL AND x <> '' AND lower(x) NOT IN (SELECT term FROM placeholder_terms))"""
+
+_P5 = _P5_USABLE + """,
 n AS (SELECT g.k, g.id, g.conf, g.updated_at, (SELECT count(*) FROM u WHERE u.k = g.k AND u.id = g.id) AS m FROM g)
 SELECT k AS dedupe_key, field_name, id AS atom_id FROM u
 QUALIFY row_number() OVER (PARTITION BY k, field_name ORDER BY conf DESC, updated_at DESC NULLS LAST, id) = 1
@@ -104,6 +106,22 @@ SELECT k, 'record', id FROM n
 QUALIFY row_number() OVER (PARTITION BY k ORDER BY m DESC, conf DESC, updated_at DESC NULLS LAST, id) = 1
 """
 
+_EM = "".join(
+    f"""
+e{i} AS MATERIALIZED (SELECT k, field_name, x, 1 / (1 + exp(-greatest(-30, least(30, own + sum(neg) OVER (PARTITION BY k, field_name))))) AS p
+  FROM (SELECT k, field_name, x, sum(n * (ln(sens / (1 - spec)) - ln((1 - sens) / spec))) AS own, sum(n * ln((1 - sens) / spec)) AS neg FROM votes JOIN q{i} USING (source) GROUP BY ALL)),
+t{i} AS MATERIALIZED (SELECT *, sum(p) OVER (PARTITION BY k, field_name) AS t, sum(1 - p) OVER (PARTITION BY k, field_name) AS f FROM e{i}),
+q{i + 1} AS MATERIALIZED (SELECT source, greatest(0.05, least(0.95, (sum(n * p) + 2.8) / (sum(n * t) + 4))) AS sens, greatest(0.05, least(0.95, 1 - (sum(n * (1 - p)) + 1.2) / (sum(n * f) + 4))) AS spec
+  FROM votes JOIN t{i} USING (k, field_name, x) GROUP BY 1),"""
+    for i in range(EM_ROUNDS)
+)
+_P5_VALUES = f"""{_P5_USABLE},
+votes AS MATERIALIZED (SELECT k, field_name, x, source, count(DISTINCT id) AS n FROM u GROUP BY ALL),
+q0 AS (SELECT DISTINCT source, 0.7::double AS sens, 0.7::double AS spec FROM votes),{_EM}
+z AS (SELECT k, field_name, x, own + sum(neg) OVER (PARTITION BY k, field_name) AS z
+  FROM (SELECT k, field_name, x, sum(n * (ln(sens / (1 - spec)) - ln((1 - sens) / spec))) AS own, sum(n * ln((1 - sens) / spec)) AS neg FROM votes JOIN q{EM_ROUNDS} USING (source) GROUP BY ALL))
+SELECT k AS dedupe_key, field_name, x AS value, round(1 / (1 + exp(-greatest(-30, least(30, z)))), 6) AS p_true, 1 / (1 + exp(-greatest(-30, least(30, z)))) >= 0.5 AS retained FROM z"""
+
 _P6 = """
 WITH r AS (
   SELECT DISTINCT id, coalesce(conversation_id, json_extract_string(j, '$.conversation_id')) AS c, coalesce(sequence, TRY_CAST(json_extract_string(j, '$.sequence') AS bigint)) AS s,
@@ -120,4 +138,4 @@ SELECT c AS conversation_id, s AS turn, id AS event_ref, who AS speaker_role FRO
 
 QUERIES = {"p3_found": p3_found, "p3_top5": p3_top5, "p5_found": p5_found, "p5_values": p5_values, "p6_found": p6_found, "p6_conversations": p6_conversations, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_waste": p8_waste, "p9_found": p9_found, "p9_classes": p9_classes}
 
-SQL: dict[str, str] = {"p3_found": _P3_PAIRS, "p3_top5": _P3_TOP, "p5_found": _P5, "p6_found": f"SELECT conversation_id, turn, event_ref FROM ({_P6})", "p6_conversations": _P6}
+SQL: dict[str, str] = {"p3_found": _P3_PAIRS, "p3_top5": _P3_TOP, "p5_found": _P5, "p5_values": _P5_VALUES, "p6_found": f"SELECT conversation_id, turn, event_ref FROM ({_P6})", "p6_conversations": _P6}
