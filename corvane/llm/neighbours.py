@@ -131,7 +131,7 @@ class CentreGraph:
                 links[other, free[other]] = a
                 free[other] += 1
         self.links = links
-        self.entries = rng.choice(n, min(n, max(64, 16 * int(n**0.5))), replace=False)
+        self.entries = rng.choice(n, min(n, max(64, 32 * int(n**0.5))), replace=False)
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of about the `beam` nearest centres of each query, nearest first; id -1: none."""
@@ -171,7 +171,7 @@ class CentreGraph:
 
     def near(self, q: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
         """(ids, chosen): of each query at most `most` centres, those within `ratio` of the nearest one's distance."""
-        ids, sims = self.search(q, min(len(self.c), max(64, 2 * most)))
+        ids, sims = self.search(q, min(len(self.c), max(16, 2 * most)))
         twice = np.zeros_like(ids, dtype=bool)
         order = np.argsort(ids, axis=1, kind="stable")
         s = np.take_along_axis(ids, order, axis=1)
