@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.session import Workspace
+from corvane.sources.versions import commit, current_version
 
-CREATE, CHANGE, REMOVE, REMOVE_AND_BLOCK, SET = 0, 1, 2, 3, 4
+CREATE, CHANGE, REMOVE, REMOVE_AND_BLOCK, SET, SET_BLOCKED = 0, 1, 2, 3, 4, 5
 
 PAYLOAD = (
     "atom struct<id:string,version:bigint>, after struct<id:string,version:bigint>, before struct<id:string>, "
@@ -40,7 +41,7 @@ def step(state, kind: int, version, event: str, expected):
     """The state after one operation. expected: the number the record's version must equal (None: not named)."""
     if kind == SET:  # only ever a record's first operation
         return (version, event)
-    if state == BLOCKED:
+    if state == BLOCKED or kind == SET_BLOCKED:
         return BLOCKED
     if state == ABSENT:
         return (version, event) if kind == CREATE and (expected is None or expected == 0) else ABSENT
@@ -121,12 +122,16 @@ class Composer:
         return keys
 
     def add(self, kind: int, version, event: str, expected) -> None:
-        if kind == SET:
+        if kind in (SET, SET_BLOCKED):
             keys = self.absent + self.blocked + self._take(self.live)
             if self.open:
                 self.open = False
                 keys.append("D")
-            self.absent, self.blocked, self.live = [], [], {version: {event: keys}}
+            self.absent, self.blocked, self.live = [], [], {}
+            if kind == SET:
+                self.live = {version: {event: keys}}
+            else:
+                self.blocked = keys
             return
         if kind == CREATE:
             if self.absent and (expected is None or expected == 0):
@@ -179,11 +184,10 @@ def compose(operations) -> Patch:
 
 
 # ------------------------------------------------------------------------------------------------- Spark
-def operations(journal: DataFrame) -> DataFrame:
-    """(atom_id, graph_version, event_id, pos, kind, version, expected): what accepted entries do to records.
+def entries(journal: DataFrame) -> DataFrame:
+    """(key, entry struct<graph_version, event_id, ops>) of every accepted row; rows of one key are one entry, said again.
 
-    Repeated rows of an event and later uses of an (actor, idempotency_key) count once, at their least
-    graph_version. An entry without event_id or graph_version has no place in the order and does nothing, nor
+    The key is (actor, idempotency_key), or the event where there is none. An entry without event_id or graph_version has no place in the order and does nothing, nor
     does an unparsable payload, a record without id, or an expected version that is null (no number equals it).
     The payload is cut down to ids and versions before anything is shuffled.
     """
@@ -214,18 +218,22 @@ def operations(journal: DataFrame) -> DataFrame:
         lambda o: F.struct(o["id"].alias("id"), o["kind"].alias("kind"), o["version"].alias("version"), o["pos"].alias("pos"), named(o).alias("named"), F.try_element_at("expected_versions", o["id"]).alias("expected")),
     )
     keyed = F.col("idempotency_key").isNotNull()
-    once = (
+    return (
         journal.where((F.col("result_status") == "accepted") & F.col("event_id").isNotNull() & F.col("graph_version").isNotNull())
         .select("event_id", "graph_version", "actor", "idempotency_key", "expected_versions", b.alias("p"))
         .select(
-            F.when(keyed, F.col("actor")).alias("k_actor"),
-            F.when(keyed, F.col("idempotency_key")).otherwise(F.col("event_id")).alias("k_key"),
-            keyed.alias("keyed"),
+            F.when(keyed, F.concat(F.lit("k"), F.coalesce("actor", F.lit("\x00")), F.lit("\x01"), "idempotency_key")).otherwise(F.concat(F.lit("e"), "event_id")).alias("key"),
             F.struct("graph_version", "event_id", ops.alias("ops")).alias("entry"),
         )
-        .groupBy("k_actor", "k_key", "keyed")
-        .agg(F.min("entry").alias("entry"))
     )
+
+
+def operations(rows: DataFrame) -> DataFrame:
+    """(atom_id, graph_version, event_id, pos, kind, version, expected): what entries() do to records.
+
+    Repeated rows of an event and later uses of an (actor, idempotency_key) count once, at their least graph_version.
+    """
+    once = rows.groupBy("key").agg(F.min("entry").alias("entry"))
     return (
         once.select("entry.graph_version", "entry.event_id", F.explode("entry.ops").alias("o"))
         .where(~F.col("o.named") | F.col("o.expected").isNotNull())
@@ -273,8 +281,8 @@ def _compose_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         edge = opening or last
         patch = composer.patch() if opening else Patch(state, KEEP)
         image = not edge and isinstance(state, tuple)
-        if edge or image:
-            out.append({"atom_id": current, "part": part, "whole": not edge, "status": int(image), "version": state[0] if image else None, "event_id": state[1] if image else None, "patch": _pack(patch) if edge else None})
+        if edge or state != ABSENT:
+            out.append({"atom_id": current, "part": part, "whole": not edge, "status": 1 if image else 2, "version": state[0] if image else None, "event_id": state[1] if image else None, "patch": _pack(patch) if edge else None})
         opening = False
 
     for batch in batches:
@@ -315,31 +323,109 @@ def _apply_patches(t: pa.Table) -> pa.Table:
     state = ABSENT
     for g in _in_order(t):
         state = g(state)
-    rows = [{"atom_id": t.column("atom_id")[0].as_py(), "version": state[0], "event_id": state[1]}] if isinstance(state, tuple) else []
-    return pa.Table.from_pylist(rows, schema=pa.schema([_ARROW.field(c) for c in ("atom_id", "version", "event_id")]))
+    image = isinstance(state, tuple)
+    rows = [{"atom_id": t.column("atom_id")[0].as_py(), "status": 1 if image else 2, "version": state[0] if image else None, "event_id": state[1] if image else None}] if state != ABSENT else []
+    return pa.Table.from_pylist(rows, schema=pa.schema([_ARROW.field(c) for c in ("atom_id", "status", "version", "event_id")]))
 
 
-def apply_changes(journal: DataFrame, base: DataFrame | None = None, fan_in: int = 32) -> DataFrame:
-    """(atom_id, version, event_id) of every record that exists after the journal is applied to base.
+def fold(ops: DataFrame, base: DataFrame | None = None, fan_in: int = 32) -> DataFrame:
+    """(atom_id, status, version, event_id) of the records that are an image (1) or blocked (2) after the operations.
 
-    base: optional rows (atom_id, version, event_id), the state before the journal; an image there counts as an
-    entry before all others. fan_in: how many neighbouring ranges one node of the reduction tree composes; two
-    levels serve fan_in ** 2 ranges evenly, beyond that only the last node grows.
-    An empty journal gives base, extra columns are ignored, an image without a version has a null version and
-    equals no expected number.
+    base: optional rows (atom_id, version, event_id) and, if it has the column, status: the state before.
     """
-    ws = Workspace(journal.sparkSession, "changes")
-    ops = operations(journal)
+    ws = Workspace(ops.sparkSession, "changes")
     if base is not None:
-        ops = ops.unionByName(
-            base.where(F.col("atom_id").isNotNull()).select("atom_id", F.lit(None).cast("bigint").alias("graph_version"), "event_id", F.lit(-1).alias("pos"), F.lit(SET).alias("kind"), F.col("version").cast("bigint").alias("version"), F.lit(None).cast("bigint").alias("expected"))
-        )
+        kind = F.when(F.col("status") == 2, SET_BLOCKED).otherwise(SET) if "status" in base.columns else F.lit(SET)
+        none = F.lit(None).cast("bigint")
+        ops = ops.unionByName(base.where(F.col("atom_id").isNotNull()).select("atom_id", none.alias("graph_version"), "event_id", F.lit(-1).alias("pos"), kind.alias("kind"), F.col("version").cast("bigint").alias("version"), none.alias("expected")))
     order = ("atom_id", "graph_version", "event_id", "pos")
     ranges = ops.repartitionByRange(*order).sortWithinPartitions(*order).select("atom_id", "kind", "version", "event_id", "expected").mapInArrow(_compose_ranges, _STATE)
     states = ws.save(ranges, "states")
-    settled = states.where(F.col("whole") & (F.col("status") == 1)).select("atom_id", "version", "event_id")
+    settled = states.where("whole").select("atom_id", "status", "version", "event_id")
     edges = states.where(~F.col("whole")).select("atom_id", "part", "patch")
     patch_t = _STATE.split("patch ")[1]
     tree = edges.withColumn("node", F.floor(F.col("part") / fan_in)).groupBy("atom_id", "node").applyInArrow(_compose_patches, f"atom_id string, part int, patch {patch_t}")
-    spanning = tree.groupBy("atom_id").applyInArrow(_apply_patches, "atom_id string, version bigint, event_id string")
+    spanning = tree.groupBy("atom_id").applyInArrow(_apply_patches, "atom_id string, status int, version bigint, event_id string")
     return settled.unionByName(spanning)
+
+
+def apply_changes(journal: DataFrame, base: DataFrame | None = None, fan_in: int = 32) -> DataFrame:
+    """(atom_id, version, event_id) of every record that exists after the journal is applied to base.
+
+    base: optional rows (atom_id, version, event_id), the state before the journal; an image there counts as an
+    entry before all others, and with a column status the blocked records (2) stay blocked. fan_in: how many
+    neighbouring ranges one node of the reduction tree composes; two levels serve fan_in ** 2 ranges evenly, beyond
+    that only the last node grows.
+    An empty journal gives base, extra columns are ignored, an image without a version has a null version and
+    equals no expected number.
+    """
+    return fold(operations(entries(journal)), base, fan_in).where("status = 1").select("atom_id", "version", "event_id")
+
+
+class ChangeFeed:
+    """The state of a journal that arrives in batches, in a folder; rows may come again and late, in any batch.
+
+    Every batch writes the entries it brings and the states it changes, then a marker that makes it count; a batch
+    that is run again after a failure is skipped or overwritten. A batch whose entries are all newer than what came
+    before is applied to the states of the records it names. If an entry comes late, or one of a key that a later entry
+    has used, the records concerned are folded anew from all their entries, so the state is always that of the whole
+    journal so far. Every `snapshot_every` batches the states are written whole; readers start from there.
+    """
+
+    def __init__(self, spark, root: str, snapshot_every: int = 16):
+        self.spark, self.root, self.snapshot_every = spark, root.rstrip("/"), snapshot_every
+
+    def last(self) -> int:
+        """The number of the last batch that counts, 0 if there is none."""
+        return current_version(self.spark, f"{self.root}/states")
+
+    def _read(self, kind: str, first: int, last: int) -> DataFrame | None:
+        paths = [f"{self.root}/{kind}/b{n:08d}" for n in range(first, last + 1)]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def states(self) -> DataFrame:
+        """(atom_id, status, version, event_id) of the records that are an image (1) or blocked (2)."""
+        last = self.last()
+        first = max(1, last - last % self.snapshot_every)
+        t = self._read("states", first, last)
+        if t is None:
+            return self.spark.createDataFrame([], "atom_id string, status int, version bigint, event_id string")
+        newest = t.groupBy("atom_id").agg(F.max_by(F.struct("status", "version", "event_id"), "batch").alias("s"))
+        return newest.where("s.status > 0").select("atom_id", "s.status", "s.version", "s.event_id")
+
+    def current(self) -> DataFrame:
+        """(atom_id, version, event_id) of the records that exist."""
+        return self.states().where("status = 1").select("atom_id", "version", "event_id")
+
+    def apply(self, batch: DataFrame, number: int) -> None:
+        """Applies batch `number` (1, 2, ...); a number that counts already does nothing."""
+        last = self.last()
+        if number <= last:
+            return
+        if number != last + 1:
+            raise ValueError(f"batch {number} comes before batch {last + 1}")
+        path = f"{self.root}/entries/b{number:08d}"
+        entries(batch).distinct().write.mode("overwrite").parquet(path)
+        new, old = self.spark.read.parquet(path), self._read("entries", 1, last)
+        touched = lambda e: e.select(F.explode("entry.ops").alias("o")).select(F.col("o.id").alias("atom_id")).distinct()
+        if old is None:
+            atoms, states = touched(new), fold(operations(new))
+        else:
+            seen = old.groupBy("key").agg(F.min("entry.graph_version").alias("seen"))
+            fresh = new.join(seen, "key", "left")
+            high = old.agg(F.max("entry.graph_version")).first()[0]
+            late = fresh.where((F.col("seen").isNull() & (F.col("entry.graph_version") <= F.lit(high))) | (F.col("entry.graph_version") < F.col("seen")))
+            if high is None or late.limit(1).count() == 0:
+                added = fresh.where("seen is null").select("key", "entry")
+                atoms = touched(added)
+                states = fold(operations(added), self.states().join(atoms, "atom_id", "left_semi"))
+            else:
+                both = old.unionByName(new)
+                atoms = touched(both.join(new.select("key").distinct(), "key", "left_semi"))
+                states = fold(operations(both).join(atoms, "atom_id", "left_semi"))
+        gone = atoms.join(states, "atom_id", "left_anti").select("atom_id", F.lit(0).alias("status"), F.lit(None).cast("bigint").alias("version"), F.lit(None).cast("string").alias("event_id"))
+        changed = states.unionByName(gone)
+        if number % self.snapshot_every == 0:
+            changed = self.states().join(atoms, "atom_id", "left_anti").unionByName(changed.where("status > 0"))
+        changed.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{self.root}/states/b{number:08d}")
+        commit(self.spark, f"{self.root}/states", number, f"b{number:08d}")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import changes, hierarchy, references
+from corvane.session import Workspace
 from corvane.sources import table, tables
 
 
@@ -13,6 +14,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return changes.apply_changes(table(spark, d, "event_journal_entry"))
 
 
+def p1_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The journal in four batches in order of arrival, late and repeated rows included."""
+    j = table(spark, d, "event_journal_entry")
+    at = F.coalesce(F.unix_micros("ingested_at"), F.lit(0))
+    cuts = j.agg(F.percentile_approx(at, [0.25, 0.5, 0.75], 100)).first()[0] or [0, 0, 0]
+    feed = changes.ChangeFeed(spark, f"{Workspace(spark, 'feed').root}/state")
+    bounds = [None, *cuts, None]
+    for n, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+        part = j if lo is None else j.where(at > lo)
+        feed.apply(part if hi is None else part.where(at <= hi), n + 1)
+    return feed.current()
+
+
 def _links(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.part_of_links(table(spark, d, "edges"), table(spark, d, "relation_dictionary"))
 
@@ -119,10 +133,11 @@ found AS (
   SELECT DISTINCT table_name, row_id, field_name, ref AS missing_ref, reason, coalesce(strftime(created_at, '%Y-%m'), 'unknown') AS period FROM judged WHERE reason IS NOT NULL)
 """
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_paths": p2_paths, "p4_found": p4_found, "p4_report": p4_report}
+QUERIES = {"p1_found": p1_found, "p1_batches": p1_batches, "p2_found": p2_found, "p2_paths": p2_paths, "p4_found": p4_found, "p4_report": p4_report}
 
 SQL = {
     "p1_found": _P1,
+    "p1_batches": _P1,
     "p2_found": _P2,
     "p2_paths": _P2_PATHS,
     "p4_found": _P4 + "SELECT * FROM found",

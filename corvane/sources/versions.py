@@ -1,13 +1,14 @@
 """Versioned table folders and JSON-lines ingestion.
 
-A table is a folder with one sub-folder a version and a pointer file that names the current one. A writer stages a
-new version and then moves the pointer, so readers see whole versions only; a publisher that worked from an older
-version than the current one is refused.
+A table is a folder with one sub-folder a version and one marker file for each version that counts. A writer stages a
+new version and then creates its marker, so readers see whole versions only; a publisher that worked from an older
+version than the current one is refused, and nothing is ever deleted or replaced to publish.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +26,25 @@ def _fs(spark: SparkSession, path: str):
 
 def current_version(spark: SparkSession, root: str) -> int:
     """The published version, 0 if there is none."""
-    fs, p = _fs(spark, f"{root}/CURRENT")
+    fs, p = _fs(spark, f"{root}/_versions")
     if not fs.exists(p):
         return 0
-    return int(spark.read.text(f"{root}/CURRENT").first()[0])
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return max((int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit()), default=0)
+
+
+def commit(spark: SparkSession, root: str, version: int, folder: str) -> None:
+    """Makes the version count by creating its marker, which names the folder of its rows; there is no other step.
+
+    Of two writers of one version one creates the marker and the other gets StaleVersion. Markers are never changed.
+    """
+    fs, at = _fs(spark, f"{root}/_versions/v{version:08d}")
+    try:
+        out = fs.create(at, False)
+    except Exception as e:
+        raise StaleVersion(f"{root} has a version {version} already") from e
+    out.write(bytearray(folder.encode()))
+    out.close()
 
 
 def publish(df: DataFrame, root: str, based_on: int, compression: str = "zstd") -> int:
@@ -37,22 +53,17 @@ def publish(df: DataFrame, root: str, based_on: int, compression: str = "zstd")
     if current_version(spark, root) != based_on:
         raise StaleVersion(f"{root} is no longer at version {based_on}")
     new = based_on + 1
-    df.write.mode("overwrite").option("compression", compression).parquet(f"{root}/v{new:08d}")
-    if current_version(spark, root) != based_on:
-        raise StaleVersion(f"{root} is no longer at version {based_on}")
-    fs, staged = _fs(spark, f"{root}/CURRENT.new")
-    out = fs.create(staged, True)
-    out.writeBytes(str(new))
-    out.close()
-    _, at = _fs(spark, f"{root}/CURRENT")
-    fs.delete(at, False)
-    fs.rename(staged, at)
+    folder = f"v{new:08d}-{uuid.uuid4().hex[:8]}"
+    df.write.option("compression", compression).parquet(f"{root}/{folder}")
+    commit(spark, root, new, folder)
     return new
 
 
 def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """A pinned version, by default the current one; it never changes under the reader."""
-    return spark.read.parquet(f"{root}/v{version or current_version(spark, root):08d}")
+    version = version or current_version(spark, root)
+    folder = spark.read.text(f"{root}/_versions/v{version:08d}").first()[0]
+    return spark.read.parquet(f"{root}/{folder}")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:

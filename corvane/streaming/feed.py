@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators.changes import apply_changes
-from corvane.sources.versions import current_version, publish, read_version
-from corvane.session import Workspace
+from corvane.operators.changes import ChangeFeed
+from corvane.sources.versions import commit, current_version
 
 
 def stream_table(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -35,32 +34,46 @@ def windowed_counts(stream: DataFrame, event_time: str, window: str, slide: str
 
 
 def fold_feed(stream: DataFrame, root: str, checkpoint: str):
-    """Folds a journal that arrives in graph_version order by batches into a versioned table of current records.
+    """Folds a journal that arrives by batches, rows repeated and late, into the state of a ChangeFeed in root.
 
-    Every batch is applied to the version before it; a batch that is run again after a failure finds its version
-    published and is skipped. Repeats within a batch count once; across batches the caller drops them first.
+    A batch that is run again after a failure counts once.
     """
+    feed = ChangeFeed(stream.sparkSession, root)
+    return stream.writeStream.foreachBatch(lambda batch, epoch: feed.apply(batch, epoch + 1)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def apply(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        version = current_version(spark, root)
-        if version > epoch:
-            return
-        base = read_version(spark, root) if version else None
-        state = apply_changes(batch, base)
-        publish(Workspace(spark, "fold").save(state), root, version)
 
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def due_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], rows: int, seconds: float, clock: Callable[[], float], checkpoint: str) -> None:
+    """Calls work(all rows since its last call, number of the call) once at least `rows` rows or `seconds` have
+    gathered, and a last time for what is left when the stream has no more.
 
+    Rows wait in a folder beside the checkpoint, and a marker for each call says up to which batch it has been handed
+    rows, so a restart goes on where it stopped. A call that failed is made again with the same number.
+    """
+    spark, root = stream.sparkSession, f"{checkpoint.rstrip('/')}-waiting"
+    since = {"at": clock()}
 
-def due_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], rows: int, seconds: float, clock: Callable[[], float], checkpoint: str):
-    """Calls work(batch_id) once at least `rows` new rows or `seconds` have gathered since it last ran."""
-    since = {"rows": 0, "at": clock()}
+    def waiting(upto: int) -> tuple[int, list[str]]:
+        calls = current_version(spark, root)
+        first = int(spark.read.text(f"{root}/_versions/v{calls:08d}").first()[0]) if calls else 0
+        return calls, [f"{root}/b{n:08d}" for n in range(first, upto)]
 
-    def tick(batch: DataFrame, epoch: int) -> None:
-        since["rows"] += batch.count()
-        if since["rows"] >= rows or clock() - since["at"] >= seconds:
-            work(batch, epoch)
-            since.update(rows=0, at=clock())
+    def hand_on(upto: int, always: bool) -> None:
+        calls, paths = waiting(upto)
+        if not paths:
+            return
+        held = spark.read.schema(stream.schema).parquet(*paths)
+        n = held.count()
+        if n and (always or n >= rows or clock() - since["at"] >= seconds):
+            work(held, calls + 1)
+            commit(spark, root, calls + 1, str(upto))
+            since["at"] = clock()
 
-    return stream.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def tick(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/b{epoch:08d}")
+        since["upto"] = epoch + 1
+        hand_on(epoch + 1, False)
+
+    q = stream.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = q.lastProgress
+    hand_on(since.get("upto", (last.batchId + 1) if last else 0), True)
