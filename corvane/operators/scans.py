@@ -90,6 +90,32 @@ def edges_of(edges: DataFrame, refs: DataFrame, relations: Iterable[str] = ()) -
     return near.dropDuplicates(["edge_id"])
 
 
+def edges_page(edges: DataFrame, refs: DataFrame, relations: Iterable[str], limit: int) -> DataFrame:
+    """edges_of() in order of edge_id, `limit` of them, each with truncated: whether there were more."""
+    got = edges_of(edges, refs, relations).orderBy("edge_id").limit(limit + 1)
+    numbered = got.withColumn("__n", F.row_number().over(W.orderBy("edge_id")))
+    all_ = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return numbered.withColumn("truncated", F.max("__n").over(all_) > limit).where(F.col("__n") <= limit).drop("__n")
+
+
+def with_retired(edges: DataFrame, retired: DataFrame) -> DataFrame:
+    """Edges, and for retired ids that are no edge any more a deleted edge without ends."""
+    gone = retired.select("edge_id").where("edge_id is not null").distinct().join(edges.select("edge_id"), "edge_id", "left_anti")
+    blank = [F.lit(True).alias(c) if c == "deleted" else F.col("edge_id") if c == "edge_id" else F.lit(None).cast(t).alias(c) for c, t in edges.dtypes]
+    return edges.unionByName(gone.select(*blank))
+
+
+def at_version(rows: DataFrame, version: int | None = None) -> DataFrame:
+    """The rows built at one graph_version, by default the newest."""
+    version = rows.agg(F.max("graph_version")).first()[0] if version is None else version
+    return rows.where(F.col("graph_version") == F.lit(version))
+
+
+def newest_events(journal: DataFrame, event_type: str, limit: int) -> DataFrame:
+    """(event_id, graph_version): the newest events of a type, repeated rows once."""
+    return journal.where(F.col("event_type") == event_type).select("event_id", "graph_version").distinct().orderBy(F.desc("graph_version"), "event_id").limit(limit)
+
+
 def tail(journal: DataFrame, after: int, limit: int) -> DataFrame:
     """Journal entries after a version, in order, repeated rows once."""
     return journal.where(F.col("graph_version") > after).dropDuplicates(["event_id"]).orderBy("graph_version", "event_id").limit(limit)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import derived, problems, store
+from corvane.plans import derived, problems, reads, store
 
-_MODULES = [problems, store, derived]
+_MODULES = [problems, store, derived, reads]
 
 
 def all_queries() -> dict:
