@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.ids import canonical_json, digest
 from corvane.functions.records import confidence, parsed, stripped
-from corvane.functions.text import first_filled, normal_label, tokens
+from corvane.functions.text import first_filled, normal_label, squeeze, tokens
 from corvane.functions.times import seconds_since
 
 
@@ -169,3 +169,16 @@ def percentiles(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def top_per_group(df: DataFrame, group: str, k: int, *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def highlights(chosen: DataFrame, atoms: DataFrame, most: int, length: int) -> DataFrame:
+    """One row (sources, types, highlights) for chosen(id, place): their types and the texts of the first `most`, cut."""
+    text = squeeze(F.concat(F.col("id"), F.lit(": "), F.col("text")), length, "...")
+    j = chosen.join(rendered(atoms), "id").join(live(atoms).select("id", "type").dropDuplicates(["id"]), "id").select("place", "type", text.alias("x"))
+    first = F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.struct("place", "x"))))  # a chosen set is small: its size is a parameter
+    return j.agg(F.count(F.lit(1)).alias("sources"), F.array_join(F.array_sort(F.collect_set("type")), ", ").alias("types"), F.array_join(F.transform(first, lambda e: e["x"]), "; ").alias("highlights"))
+
+
+def ontology(relations: DataFrame) -> DataFrame:
+    """(canonical_relation, names, inverses, deprecated): how many names a relation goes by."""
+    return relations.groupBy("canonical_relation").agg(F.count(F.lit(1)).alias("names"), F.count_if("inverse").alias("inverses"), F.count_if("deprecated").alias("deprecated"))

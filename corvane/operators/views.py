@@ -74,3 +74,12 @@ def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> D
     l_ = left.select(key, ts, "event_id", F.lit(1).alias("side"), F.lit(None).cast(dict(right.dtypes)[value]).alias(value))
     r_ = right.select(key, ts, F.lit(None).cast("bigint").alias("event_id"), F.lit(0).alias("side"), value)
     return l_.unionByName(r_).withColumn("as_of", F.last(value, ignorenulls=True).over(w)).where("side = 1").select(key, ts, "event_id", "as_of")
+
+
+def pages(messages: DataFrame, after: int, limit: int) -> DataFrame:
+    """(conversation_id, sequence, id, has_more): of each conversation the `limit` messages after a sequence number."""
+    m = messages.where(F.col("conversation_id").isNotNull() & (F.col("sequence") > after)).select("conversation_id", "sequence", "id").distinct()
+    w = W.partitionBy("conversation_id").orderBy("sequence", "id")
+    got = m.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit + 1)  # one more than asked: are there more?
+    got = got.withColumn("has_more", F.max("n").over(W.partitionBy("conversation_id")) > limit)
+    return got.where(F.col("n") <= limit).select("conversation_id", "sequence", "id", "has_more")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import derived, problems, reads, store
+from corvane.plans import derived, problems, reads, store, upkeep
 
-_MODULES = [problems, store, derived, reads]
+_MODULES = [problems, store, derived, reads, upkeep]
 
 
 def all_queries() -> dict:
