@@ -92,8 +92,9 @@ def activation(edges: DataFrame, seeds: DataFrame, hop_decay: float = 0.55, back
     """(ref, strength): spreading activation from seeds(ref, strength) over two hops, the strongest path counts.
 
     A hop along an edge passes strength * weight / sqrt(degree of the node left), against it 0.8 of that, the
-    second hop 0.55 of it, never more than 1. No path uses an edge twice. Every path that improves on what a node
-    had before the hop is carried on, not only the best.
+    second hop 0.55 of it, never more than 1. No path uses an edge twice. Of the paths that improve on what a node had
+    the two strongest by different edges are carried on: whichever edge comes next, the strongest that did not use it
+    is one of them, so the work grows with the links, not with paths times degree.
     """
     d = degrees(edges)
     e = edges.select("edge_id", "source_ref", "target_ref", relation_weight(F.col("relation")).alias("w"))
@@ -104,7 +105,9 @@ def activation(edges: DataFrame, seeds: DataFrame, hop_decay: float = 0.55, back
     one = own.join(links, "ref").select(F.col("other").alias("ref"), "edge_id", F.least(F.lit(1.0), F.col("had") * F.col("w")).alias("s"))
     one = one.join(own, "ref", "left").where(F.col("s") > F.coalesce("had", F.lit(0.0))).drop("had")
     after = own.unionByName(one.groupBy("ref").agg(F.max("s").alias("had"))).groupBy("ref").agg(F.max("had").alias("had"))
-    two = one.select("ref", F.col("edge_id").alias("used"), "s").join(links, "ref").where("edge_id <> used")
+    once = one.groupBy("ref", "edge_id").agg(F.max("s").alias("s"))
+    once = once.withColumn("n", F.row_number().over(W.partitionBy("ref").orderBy(F.desc("s"), "edge_id"))).where("n <= 2")
+    two = once.select("ref", F.col("edge_id").alias("used"), "s").join(links, "ref").where("edge_id <> used")
     two = two.select(F.col("other").alias("ref"), F.least(F.lit(1.0), F.col("s") * F.col("w") * hop_decay).alias("s")).groupBy("ref").agg(F.max("s").alias("had"))
     return after.unionByName(two).groupBy("ref").agg(F.max("had").alias("strength"))
 

@@ -632,17 +632,64 @@ def diachronic_novelty(s, d):
 
 
 # ------------------------------------------------------------------------------------------- retrieval
-@query()
+def _parts_sql(scope: str, n_scope: int, focus: tuple[str, ...] = (), suppress: tuple[str, ...] = (), boost: str = "''", held: str = "''", novelty: float = 0.0, against: bool = False) -> str:
+    """CTEs up to `parts`: the components of every record's score."""
+
+    def share(words):
+        if not words:
+            return "0.0::double"
+        any_ = " OR ".join(f"contains(low, '{w}')" for w in words)
+        return f"(CASE WHEN {any_} THEN greatest(0.75, len(list_intersect({list(words)}, toks)) / {len(words)}) ELSE len(list_intersect({list(words)}, toks)) / {len(words)} END)"
+
+    cue = lambda c: f"CASE WHEN contains(low, '{c}') THEN 1.0 ELSE len(list_intersect({c.split()}, toks)) / {len(c.split())} END"
+    counter = "CASE WHEN health_status = 'contradicted' THEN 1.0 WHEN type IN ('limitation', 'self_assessment', 'action_outcome') THEN 0.6 WHEN len(list_intersect(['failure', 'correction', 'blocked', 'risk', 'contradiction'], toks)) > 0 THEN 0.5 ELSE 0 END" if against else "0.0"
+    return f"""
+b0 AS (SELECT *, CASE WHEN json_valid(payload) THEN payload::json END AS p FROM (SELECT DISTINCT ON (id) * FROM atoms)),
+b1 AS (SELECT *, coalesce(nullif(p->>'$.claim', ''), nullif(p->>'$.name', ''), nullif(p->>'$.description', ''), nullif(p->>'$.summary', ''), payload) AS text FROM b0),
+b2 AS (SELECT *, lower(coalesce(text, '')) AS low, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS toks FROM b1),
+b AS (SELECT *, greatest({", ".join(cue(c) for c in CUES)})::double AS direct, {share(focus)}::double AS focus, greatest({share(suppress)}, (coalesce(type IN ({held}), false))::int)::double AS held, {counter}::double AS against,
+  CASE WHEN deleted THEN 'deleted' WHEN NOT coalesce(lifecycle_state = 'active', false) THEN 'lifecycle' WHEN NOT {scope} THEN 'scope' END AS reason FROM b2),
+z AS (SELECT id AS ref, greatest(direct, focus) AS s FROM b WHERE reason IS NULL AND greatest(direct, focus) > 0), {_ACT},
+old AS (SELECT DISTINCT target_ref AS id FROM edges WHERE NOT coalesce(deleted, false) AND lifecycle_state = 'active' AND relation = 'rel:supersedes' AND source_ref IN (SELECT id FROM atoms WHERE NOT coalesce(deleted, false) AND lifecycle_state = 'active') AND target_ref IN (SELECT id FROM atoms WHERE NOT coalesce(deleted, false) AND lifecycle_state IN ('active', 'superseded'))),
+j AS (SELECT b.*, coalesce(strength, 0) AS edge, degree, greatest(direct, focus, 0.5 * coalesce(strength, 0)) AS signal FROM b LEFT JOIN act ON act.ref = b.id LEFT JOIN {_DEG} dg ON dg.ref = b.id),
+parts AS (SELECT id, text, reason, direct AS direct_cue_match, 0.0::double AS semantic_similarity, edge AS edge_activation,
+  coalesce(greatest(0, 1 - greatest(0, epoch(TIMESTAMP '{NOW}')::bigint - floor(epoch(coalesce(updated_at, observed_at)))::bigint) / 2592000.0), 0)::double AS recency,
+  {_CONF}::double AS confidence, least(1, coalesce(utility, 0.5))::double AS utility, least(1, coalesce(salience, 0.5))::double AS salience, least(1, coalesce(len(json_keys(scope)), 0) / {n_scope})::double AS scope_specificity,
+  CASE WHEN type IN ('goal', 'commitment') THEN signal ELSE 0 END::double AS goal_relevance, CASE WHEN type = 'procedure' THEN signal ELSE 0 END::double AS procedural_applicability,
+  focus AS attention_focus, (coalesce(type IN ({boost}), false))::int::double AS attention_type_boost, against AS attention_counterevidence, ({novelty} * (1 - least(1, coalesce(degree, 0) / 5)))::double AS attention_novelty, held AS attention_suppression_penalty,
+  (coalesce(health_status = 'contradicted', false))::int::double AS contradiction_penalty, (coalesce(health_status = 'stale', false) OR coalesce(lifecycle_state = 'archived', false))::int::double AS staleness_penalty,
+  (coalesce(health_status = 'merged', false))::int::double AS redundancy_penalty, (id IN (SELECT id FROM old))::int::double AS superseded_penalty FROM j)"""
+
+
+_ASKED_SQL = """(coalesce(json_extract_string(scope, '$.tenant') IN ('tenant-1', 'global'), json_extract_string(scope, '$.tenant') IS NULL) AND coalesce(json_extract_string(scope, '$.workspace') = 'global', json_extract_string(scope, '$.workspace') IS NULL))"""
+_READER_SQL = """(coalesce(json_extract_string(scope, '$.tenant') IN ('tenant-2', 'global'), json_extract_string(scope, '$.tenant') IS NULL) AND coalesce(json_extract_string(scope, '$.workspace') IN ('ws-head-002', 'global'), json_extract_string(scope, '$.workspace') IS NULL))"""
+_SHOWN = ", ".join(f"round({c}, 6) AS {c}" for c in retrieval.WEIGHTS)
+_ATTEND = retrieval.Attention(focus=("greenhouse", "valve", "ledger"), suppress=("snapshot",), boost_types=("goal", "procedure"), suppress_types=("episode",), novelty=0.5, counterevidence=True)
+_ATTEND_SQL = dict(focus=_ATTEND.focus, suppress=_ATTEND.suppress, boost="'goal', 'procedure'", held="'episode'", novelty=0.5, against=True)
+_SCORE = "least(1, greatest(0, " + " + ".join(f"{c} * {w}" for c, w in retrieval.WEIGHTS.items()) + "))"
+
+
+@query(f"WITH {_parts_sql(_ASKED_SQL, 1)} SELECT id, reason, {_SHOWN} FROM parts")
 def score_components(s, d):
     return retrieval.components(atoms(s, d), edges(s, d), CUES, ASKED, NOW).select("id", "reason", *[F.round(c, 6).alias(c) for c in retrieval.WEIGHTS])
 
 
-@query()
+@query(f"WITH {_parts_sql(_READER_SQL, 2, **_ATTEND_SQL)} SELECT id, reason, {_SHOWN} FROM parts")
+def attention_components(s, d):
+    return retrieval.components(atoms(s, d), edges(s, d), CUES, READER, NOW, _ATTEND).select("id", "reason", *[F.round(c, 6).alias(c) for c in retrieval.WEIGHTS])
+
+
+@query(f"""
+WITH RECURSIVE {_parts_sql(_READER_SQL, 2)},
+sc AS (SELECT id, strlen(text)::bigint AS size, {_SCORE} AS score FROM parts WHERE reason IS NULL AND (direct_cue_match > 0 OR edge_activation > 0)),
+r AS (SELECT id, size, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, id)::int AS rank FROM sc QUALIFY rank <= 64),
+g AS (SELECT 0 AS rank, 4000::bigint AS room, NULL::boolean AS packed UNION ALL SELECT r.rank, CASE WHEN r.size <= g.room THEN g.room - r.size ELSE g.room END, r.size <= g.room FROM g JOIN r ON r.rank = g.rank + 1)
+SELECT r.rank, id, score, size, g.packed FROM r JOIN g USING (rank)""")
 def packet(s, d):
     return retrieval.packet(atoms(s, d), edges(s, d), CUES, READER, NOW)
 
 
-@query()
+@query(f"WITH {_parts_sql(_ASKED_SQL, 1)} SELECT id, reason FROM parts WHERE reason IS NOT NULL AND direct_cue_match > 0")
 def packet_omissions(s, d):
     return retrieval.omissions(retrieval.components(atoms(s, d), edges(s, d), CUES, ASKED, NOW))
 
