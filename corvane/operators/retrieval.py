@@ -63,7 +63,7 @@ def _share(words: tuple[str, ...], text: Column, text_tokens: Column) -> Column:
 
 def _exclusion(payload: Column, cues: list[str]) -> Column:
     """The largest share, from 0.6 on, of the words of a phrase the record excludes that one cue has."""
-    phrases = F.coalesce(*[F.from_json(F.get_json_object(payload, f"$.selection_contract.{f}"), "array<string>") for f in ("exclusions", "negative_examples")], F.array().cast("array<string>"))
+    phrases = F.coalesce(*[F.from_json(F.get_json_object(payload, f"$.selection_contract.{f}"), "array<string>") for f in ("exclusions",)], F.array().cast("array<string>"))
     want = [F.array_distinct(F.flatten(F.transform(tokens(F.lit(c)), lambda t: F.split(t, "_")))) for c in cues]
 
     def covered(p: Column) -> Column:
