@@ -86,3 +86,21 @@ def test_conversations_over_several_keys(spark, monkeypatch):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_a_live_stream_emits_conversations_as_they_close(spark, tmp_path):
+    t0, say = datetime(2025, 1, 1), lambda c, s, role: json.dumps({"conversation_id": c, "sequence": s, "role": role, "content": "text"})
+    rows = [(f"{c}-{s}", c, s, say(c, s, "human" if s % 2 else "agent"), t0 + timedelta(days=100 * i), None, "x") for i, c in enumerate("abc") for s in (2, 1)]
+    roles = spark.createDataFrame(ROLES, "alias string, speaker_role string")
+    src, root = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def arrive(rows):
+        C.messages(spark.createDataFrame(rows, COLS), roles).coalesce(1).write.mode("append").parquet(src)
+        C.emit(spark.readStream.schema(spark.read.parquet(src).schema).parquet(src), root, str(tmp_path / "mark"), "1 day").awaitTermination()
+        return sorted({r.conversation_id for r in C.emitted(spark, root).collect()})
+
+    arrive(rows[:2])
+    assert arrive(rows[2:4]) == ["a"]
+    assert arrive(rows[4:]) == ["a", "b"]
+    more = [("a-3", "a", 3, say("a", 3, "human"), t0 + timedelta(days=300), None, "x"), ("d-1", "d", 1, say("d", 1, "human"), t0 + timedelta(days=400), None, "x")]
+    assert arrive(more) == ["b", "c"]
