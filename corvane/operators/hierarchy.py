@@ -15,6 +15,7 @@ shared folder. No group is gathered in one task, nothing is collected but row co
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -132,13 +133,13 @@ def _rank(ws: Workspace, tour: DataFrame) -> DataFrame:
 
 
 def hierarchy(links: DataFrame) -> DataFrame:
-    """(node_ref, parent_ref, root_ref, depth, entry, exit, descendants, on_cycle) of every ref in links(child, parent).
+    """(node_ref, parent_ref, root_ref, depth, tree_ref, entry, exit, tree_length, descendants, on_cycle) of every ref in links(child, parent).
 
     root_ref: the topmost parent, or the least ref of the cycle the node's parents run into, then depth is -1.
     entry, exit: positions in the tour of tree_ref (for a node behind a cycle: the tour of the cycle node its
     parents meet first); a node lies below another of the same tree exactly if its entry lies between the
     other's entry and exit. descendants: other nodes whose chain of parents passes through the node.
-    Repeated links count once; of several parents the least ref counts; rows with a null end are ignored; an
+    Repeated links count once; of several parents the least ref counts (extra_parents() names the others); rows with a null end are ignored; an
     empty table gives an empty table; a self-link is a cycle of one.
     """
     ws = Workspace(links.sparkSession, "hierarchy")
@@ -179,43 +180,70 @@ def hierarchy(links: DataFrame) -> DataFrame:
             "tree_ref",
             (F.col("length") - F.col("h_in")).alias("entry"),
             (F.col("length") - F.col("h_out")).alias("exit"),
+            F.col("length").alias("tree_length"),
             F.when(F.col("on_cycle"), F.col("cycle_nodes") - 1).otherwise(F.col("below")).cast("bigint").alias("descendants"),
             "on_cycle",
         )
     )
 
 
-def paths(links: DataFrame) -> DataFrame:
-    """(node_ref, path): the refs from the root down to the node, for nodes whose parents reach a root.
+def extra_parents(links: DataFrame) -> DataFrame:
+    """(child, parent): the stated parents that a hierarchy leaves out because the child keeps its least one."""
+    l = links.where("child is not null and parent is not null").select("child", "parent").distinct()
+    kept = l.groupBy("child").agg(F.min("parent").alias("kept"))
+    return l.join(kept, "child").where("parent <> kept").select("child", "parent")
 
-    Paths are built by doubling: after round k a node knows its next 2**k ancestors. Nodes caught behind a cycle
-    have no path and are left out.
-    """
-    ws = Workspace(links.sparkSession, "paths")
-    nodes, parents = _encode(ws, links)
-    ref = nodes.select("v", "ref")
-    cur = ws.save(parents.join(ref, "v").select("v", "p", F.array("ref").alias("path")), "path")
-    left = -1
-    while True:
-        running = cur.where(F.col("p").isNotNull())
-        n = rows_of(running)
-        if n in (0, left):
-            break
-        left = n
-        b = cur.select(F.col("v").alias("q"), F.col("p").alias("pp"), F.col("path").alias("up"))
-        nxt = running.join(b, running["p"] == b["q"]).select("v", F.col("pp").alias("p"), F.concat("up", "path").alias("path"))
-        nxt = ws.save(nxt.unionByName(cur.where(F.col("p").isNull())), "path")
-        ws.drop(cur)
-        cur = nxt
-    return cur.where(F.col("p").isNull()).join(ref, "v").select(F.col("ref").alias("node_ref"), "path")
 
+_SWEPT = "node_ref string, path array<string>, behind_cycle boolean"
 
-def within(h: DataFrame, above: DataFrame) -> DataFrame:
+
+def _sweep(t: pa.Table) -> pa.Table:
+    """The paths of one block of tours, by one pass in order of entry with the open intervals on a stack."""
+    t = t.sort_by([("tree_ref", "ascending"), ("entry", "ascending")])
+    refs, out, behind, open_, tree = [], [], [], [], None
+    for at, entry, leave, ref, carried, cyclic in zip(*(t.column(c).to_pylist() for c in ("tree_ref", "entry", "exit", "node_ref", "carried", "cyclic"))):
+        if at != tree:
+            tree, open_ = at, []
+        while open_ and open_[-1][0] < entry:
+            open_.pop()
+        open_.append((leave, ref))
+        if not carried:
+            refs.append(ref)
+            out.append([r for _, r in open_])
+            behind.append(cyclic)
+    return pa.table({"node_ref": pa.array(refs, pa.string()), "path": pa.array(out, pa.list_(pa.string())), "behind_cycle": pa.array(behind, pa.bool_())})
+
+
+def paths(links: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """(node_ref, path, behind_cycle): the refs from the top of the node's tree down to the node, read off the tours.
+
+    A tour is cut into blocks of positions, small tours share a block. The intervals that are open where a block
+    begins are handed to it, so every block is swept by itself. For nodes behind a cycle the top is the cycle's node
+    that their parents meet first. Arguments as for hierarchy().
+    """
+    ws = Workspace(links.sparkSession, "paths")
+    h = hierarchy(links).select("node_ref", "tree_ref", "entry", "exit", "tree_length", (F.col("depth") < 0).alias("cyclic"))
+    h = ws.save(h, "tours")
+    shared = max(1, 2 * rows_of(h) // block + 1)
+    small = F.col("tree_length") <= block
+    grp = F.when(small, F.concat(F.lit("s"), F.pmod(F.xxhash64("tree_ref"), F.lit(shared)))).otherwise(F.concat(F.lit("t"), "tree_ref"))
+    at = lambda c: F.when(small, 0).otherwise(F.floor(F.col(c) / block)).cast("bigint")
+    own = h.select(grp.alias("grp"), at("entry").alias("blk"), at("exit").alias("last"), "tree_ref", "entry", "exit", "node_ref", "cyclic")
+    carried = own.where("last > blk").withColumn("blk", F.explode(F.sequence(F.col("blk") + 1, "last"))).withColumn("carried", F.lit(True))
+    every = own.withColumn("carried", F.lit(False)).unionByName(carried).drop("last")
+    return every.groupBy("grp", "blk").applyInArrow(_sweep, _SWEPT)
+
+
+def within(h: DataFrame, above: DataFrame, block: int = 1 << 16) -> DataFrame:
     """(node_ref, below_ref): all records below each ref of `above`(node_ref), read off the tour intervals.
 
-    h is the result of hierarchy(). The intervals are compared inside a tree only. `above` is a stated query set.
-    Nodes on a cycle have no interval of their own cycle and are answered for the trees that hang from them.
+    h is the result of hierarchy(), best saved. An interval meets only the blocks of positions it spans, so the work is
+    that of the answer and at most two blocks more. Below a node on a cycle lies all that leads into the cycle.
     """
-    a = h.join(above.select("node_ref").distinct(), "node_ref", "left_semi").select(F.col("node_ref"), "tree_ref", F.col("entry").alias("lo"), F.col("exit").alias("hi"))
-    b = h.select(F.col("node_ref").alias("below_ref"), "tree_ref", F.col("entry").alias("at"))
-    return a.join(b, "tree_ref").where((F.col("at") > F.col("lo")) & (F.col("at") < F.col("hi"))).select("node_ref", "below_ref")
+    at = lambda c: F.floor(F.col(c) / block).cast("bigint")
+    mine = h.join(above.select("node_ref").distinct(), "node_ref", "left_semi")
+    a = mine.where("not on_cycle").select("node_ref", "tree_ref", F.col("entry").alias("lo"), F.col("exit").alias("hi"), F.explode(F.sequence(at("entry"), at("exit"))).alias("blk"))
+    b = h.select(F.col("node_ref").alias("below_ref"), "tree_ref", F.col("entry").alias("at"), at("entry").alias("blk"))
+    inside = a.join(b, ["tree_ref", "blk"]).where((F.col("at") > F.col("lo")) & (F.col("at") < F.col("hi"))).select("node_ref", "below_ref")
+    loops = mine.where("on_cycle").select("node_ref", "root_ref").join(h.where("depth < 0").select(F.col("node_ref").alias("below_ref"), "root_ref"), "root_ref").where("node_ref <> below_ref")
+    return inside.unionByName(loops.select("node_ref", "below_ref"))

@@ -36,7 +36,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.paths(_links(spark, d)).select("node_ref", F.array_join("path", "/").alias("path"))
+    return hierarchy.paths(_links(spark, d)).where("not behind_cycle").select("node_ref", F.array_join("path", "/").alias("path"))
+
+
+def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
+    h = Workspace(spark, "descendants").save(hierarchy.hierarchy(_links(spark, d)), "tours")
+    return hierarchy.within(h, h)
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -133,13 +138,14 @@ found AS (
   SELECT DISTINCT table_name, row_id, field_name, ref AS missing_ref, reason, coalesce(strftime(created_at, '%Y-%m'), 'unknown') AS period FROM judged WHERE reason IS NOT NULL)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_batches": p1_batches, "p2_found": p2_found, "p2_paths": p2_paths, "p4_found": p4_found, "p4_report": p4_report}
+QUERIES = {"p1_found": p1_found, "p1_batches": p1_batches, "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p4_found": p4_found, "p4_report": p4_report}
 
 SQL = {
     "p1_found": _P1,
     "p1_batches": _P1,
     "p2_found": _P2,
     "p2_paths": _P2_PATHS,
+    "p2_descendants": _P2_WALK + "SELECT cur AS node_ref, node AS below_ref FROM walk WHERE cur <> node",
     "p4_found": _P4 + "SELECT * FROM found",
     "p4_report": _P4 + 'SELECT table_name, period, reason, count(*) AS "references", count(DISTINCT missing_ref) AS refs FROM found GROUP BY ALL',
 }

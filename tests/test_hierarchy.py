@@ -52,10 +52,16 @@ def test_random_forests_with_cycles(spark):
     for a in ("n0", "n1", "l40", "l20"):
         inside = {n for n, (t, lo, hi) in spans.items() if t == spans[a][0] and spans[a][1] < lo < spans[a][2]}
         assert inside == {n for n, c in chains.items() if a in c[1:]}
-    top = spark.createDataFrame([("n0",), ("l20",)], "node_ref string")
-    assert H.within(h, top).count() == sum(1 for c in chains.values() for a in ("n0", "l20") if a in c[1:])
-    p = {r.node_ref: r.path for r in H.paths(spark.createDataFrame(pairs, "child string, parent string")).collect()}
-    assert p == {n: c[::-1] for n, c in chains.items() if c[-1] not in parent}
+    for block in (1 << 16, 16):  # whole tours, and tours in many blocks
+        below = sorted(map(tuple, H.within(h, h, block).collect()))
+        assert below == sorted((a, n) for n, c in chains.items() for a in c[1:])
+        rows = H.paths(spark.createDataFrame(pairs, "child string, parent string"), block).collect()
+        assert {r.node_ref: r.path for r in rows if not r.behind_cycle} == {n: c[::-1] for n, c in chains.items() if c[-1] not in parent}
+        loops = {n: c for n, c in chains.items() if c[-1] in parent}
+        on = {n for c in loops.values() for n in c[c.index(parent[c[-1]]) :]}
+        assert {r.node_ref: r.path for r in rows if r.behind_cycle} == {n: [x for i, x in enumerate(c) if not set(c[:i]) & on][::-1] for n, c in loops.items()}
+    more = spark.createDataFrame([("a", "x"), ("a", "w"), ("a", "w"), ("b", "x"), (None, "x")], "child string, parent string")
+    assert list(map(tuple, H.extra_parents(more).collect())) == [("a", "x")]
 
 
 def test_star_several_parents_empty(spark):
