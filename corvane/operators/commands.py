@@ -58,3 +58,10 @@ def feedback(records: DataFrame, outcomes: DataFrame) -> DataFrame:
     o = outcomes.groupBy(F.col("ref").alias("id")).agg(good.alias("good"), bad.alias("bad"))
     held = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
     return records.join(o, "id").select("id", held(F.coalesce("utility", F.lit(0.5)) + 0.03 * F.col("good") - 0.06 * F.col("bad")).alias("utility"), held(F.coalesce("salience", F.lit(0.5)) + 0.02 * F.col("good")).alias("salience"))
+
+
+def first_evidence(evidence: DataFrame) -> DataFrame:
+    """Evidence by id, the row captured first; evidence is never overwritten."""
+    rest = [c for c in evidence.columns if c not in ("evidence_id", "captured_at", "checksum")]
+    order = F.struct(F.coalesce("captured_at", F.timestamp_micros(F.lit(0))).alias("at"), "checksum", "captured_at", *rest)
+    return evidence.where("evidence_id is not null").groupBy("evidence_id").agg(F.min(order).alias("r")).select("evidence_id", "r.checksum", "r.captured_at", *[f"r.{c}" for c in rest])

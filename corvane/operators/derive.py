@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.records import confidence
+from corvane.functions.records import confidence, parsed
 from corvane.functions.text import first_filled
 from corvane.operators import graph, quality, text_index
 from corvane.operators.quality import live
@@ -67,7 +67,7 @@ def structured_refs(json: Column) -> Column:
 
 def responsibility(agent: str, payload: str = "payload") -> Column:
     """Who answers for a record: stated, else by its agent, else external if constraints are named."""
-    g = lambda f: F.get_json_object(payload, f"$.{f}")
+    g = lambda f: F.get_json_object(parsed(payload), f"$.{f}")
     said, who = F.lower(F.coalesce(g("responsibility"), F.lit(""))), first_filled(g("agent_id"), g("subject_agent"))
     named = first_filled(g("external_constraints"), g("external_actor"))
     return F.when(said.isin("shared_system", "external"), said).when(who == agent, "self").when(who.isNotNull(), "other_agent").when(named.isNotNull() & ~named.isin("[]", "{}", "false"), "external").otherwise("unknown")
@@ -75,7 +75,7 @@ def responsibility(agent: str, payload: str = "payload") -> Column:
 
 def recall(atoms: DataFrame, agent: str, types: list[str]) -> DataFrame:
     """(type, responsibility, status, n): an agent's view of what was done, by stated status, outcome or result."""
-    g = lambda f: F.get_json_object("payload", f"$.{f}")
+    g = lambda f: F.get_json_object(parsed(), f"$.{f}")
     status = F.lower(F.coalesce(first_filled(g("status"), g("outcome"), g("result")), F.lit("")))
     return live(atoms).where(F.col("type").isin(*types)).dropDuplicates(["id"]).groupBy("type", responsibility(agent).alias("responsibility"), status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -130,11 +130,11 @@ def coverage(atoms: DataFrame, edges: DataFrame) -> DataFrame:
     return j.agg(F.count_if(F.col("ends") == 2).alias("inside"), F.count_if(F.col("ends") == 1).alias("across"), F.count_if(F.col("ends") == 0).alias("outside")).withColumn("records", w.agg(F.count(F.lit(1))).scalar())
 
 
-def frame(atoms: DataFrame, edges: DataFrame, cues: list[str], mandatory: list[str], supporting: list[str], k: int = 32) -> DataFrame:
+def frame(atoms: DataFrame, edges: DataFrame, cues: list[str], mandatory: list[str], supporting: list[str], k: int = 32, typed: bool = False) -> DataFrame:
     """(component, ref, hop, kind, unit): what a question's best records must be read with, grouped and typed.
 
     Seeds are the k best records by words; around them the closure by mandatory and supporting relations; connected
-    parts of it are units, typed by the relations inside.
+    parts of it are units, typed by the relations inside and, if typed is set, by the types of their records.
     """
     ws = Workspace(atoms.sparkSession, "frame")
     idx = text_index.postings(quality.rendered(live(atoms)), "id", "text")
@@ -145,5 +145,21 @@ def frame(atoms: DataFrame, edges: DataFrame, cues: list[str], mandatory: list[s
     inner = ws.save(e.join(refs.withColumnRenamed("ref", "source_ref"), "source_ref", "left_semi").join(refs.withColumnRenamed("ref", "target_ref"), "target_ref", "left_semi"), "inner")
     parts = graph.components(inner)
     own = around.join(parts, "ref", "left").withColumn("component", F.coalesce("component", "ref"))
-    units = graph.component_units(own.select("ref", "component"), inner)
+    units = graph.component_units(own.select("ref", "component"), inner, live(atoms).select("id", "type").distinct() if typed else None)
     return own.join(units.select("component", F.col("kind").alias("unit")), "component").select("component", "ref", "hop", "kind", "unit")
+
+
+def work_budgets(budgets: DataFrame) -> DataFrame:
+    """(budget_name, allowance, n): how much a frame of so many bytes may look at. budgets: (budget_name, bytes)."""
+    share = {"candidate_atoms": (32, 32), "continuation_edges": (4, 512), "mandatory_atom_expansions": (8, 256), "mandatory_edges": (16, 128)}
+    rows = [F.struct(F.lit(name).alias("allowance"), F.greatest(F.lit(least), F.floor(F.col("bytes") / per)).cast("bigint").alias("n")) for name, (least, per) in share.items()]
+    return budgets.select("budget_name", F.explode(F.array(*rows)).alias("x")).select("budget_name", "x.allowance", "x.n")
+
+
+def tally(parts: dict[str, DataFrame]) -> DataFrame:
+    """(finding, n): how many rows each table has."""
+    out = None
+    for name, df in parts.items():
+        n = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("finding"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out

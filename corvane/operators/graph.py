@@ -227,13 +227,27 @@ def closure(edges: DataFrame, seeds: DataFrame, mandatory: list[str], supporting
     return must.withColumn("kind", F.when(F.col("hop") == 0, "seed").otherwise("mandatory")).unionByName(near.select("ref", "hop", F.lit("supporting").alias("kind")))
 
 
-def component_units(parts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(component, refs, kind): what a connected group of records is, by the relations inside it, first that fits."""
+def component_units(parts: DataFrame, edges: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """(component, refs, kind): what a connected group of records is, by the relations inside it, first that fits.
+
+    types: optional (id, type) of the records; then their types decide as well and the kinds are finer.
+    """
     rel = edges.join(parts.select(F.col("ref").alias("source_ref"), "component"), "source_ref").groupBy("component").agg(F.collect_set("relation").alias("rels"))
-    size = parts.groupBy("component").agg(F.count(F.lit(1)).alias("refs"))
+    size = parts.groupBy("component").agg(F.count(F.lit(1)).alias("refs")).join(rel, "component", "left")
     has = lambda *names: F.coalesce(F.arrays_overlap("rels", F.array(*map(F.lit, names))), F.lit(False))
-    kind = F.when(has("rel:contradicts"), "conflict_set").when(has("rel:supersedes"), "decision_chain").when(has("rel:corrected_by"), "failure_correction").otherwise("related")
-    return size.join(rel, "component", "left").select("component", "refs", kind.alias("kind"))
+    if types is None:
+        kind = F.when(has("rel:contradicts"), "conflict_set").when(has("rel:supersedes"), "decision_chain").when(has("rel:corrected_by"), "failure_correction").otherwise("related")
+        return size.select("component", "refs", kind.alias("kind"))
+    held = parts.join(types.select(F.col("id").alias("ref"), "type"), "ref").groupBy("component").agg(F.collect_set("type").alias("types"))
+    of = lambda *names: F.coalesce(F.arrays_overlap("types", F.array(*map(F.lit, names))), F.lit(False))
+    kind = F.when(has("rel:contradicts"), "conflict_set").when(has("rel:supersedes", "rel:decided"), "decision_chain").when(of("commitment") | has("rel:made_commitment"), "commitment_history")
+    kind = kind.when(of("episode"), "episode").when(has("rel:corrected_by") | of("action_outcome"), "failure_correction").when(of("goal", "policy", "runtime_state"), "current_state").otherwise("related_memory")
+    return size.join(held, "component", "left").select("component", "refs", kind.alias("kind"))
+
+
+def learned_weight(used: Column, corrected: Column) -> Column:
+    """How a link's use changes its weight: 0.03 more for each use, 0.08 less for each correction, between 0.35 and 1.25."""
+    return F.least(F.lit(1.25), F.greatest(F.lit(0.35), 1 + 0.03 * used - 0.08 * corrected))
 
 
 def linked_records(edges: DataFrame, events: DataFrame, depth: int, limit: int) -> DataFrame:

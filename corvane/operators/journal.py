@@ -120,14 +120,17 @@ def segments(journal: DataFrame, size: int, keep_tail: int) -> DataFrame:
     return s.groupBy("segment").agg(F.min("graph_version").alias("from_version"), F.max("graph_version").alias("to_version"), F.count(F.lit(1)).alias("events"), F.sum(F.conv(F.substring(F.sha2(F.concat_ws("|", "event_id", "payload_digest", "graph_version"), 256), 1, 12), 16, 10).cast("decimal(38,0)")).cast("string").alias("digest"))
 
 
-def append(new: DataFrame, last_version: int, last_hash: str) -> DataFrame:
+def append(new: DataFrame, last_version: int, last_hash: str, most: int = 5_000_000) -> DataFrame:
     """new (event_id, position, payload_digest) chained to the journal: (event_id, graph_version, previous_event_hash, checksum).
 
     Versions come from ranges of the order, all in parallel. The chain hashes every event with the one before, which
-    is sequential by definition: it runs over digests alone, one batch of a single ordered writer.
+    is sequential by definition: it runs over digests alone, one batch of a single ordered writer of at most `most`
+    events; a larger one is refused, it must be appended in parts.
     """
     ws = Workspace(new.sparkSession, "append")
     e = ws.save(new.repartitionByRange("position", "event_id").select("event_id", "position", "payload_digest", F.spark_partition_id().alias("pid")), "events")
+    if e.count() > most:
+        raise ValueError(f"a batch holds at most {most} events")
     per = e.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
     before = per.select("pid", (F.sum("n").over(W.orderBy("pid")) - F.col("n")).alias("before"))
     rn = F.row_number().over(W.partitionBy("pid").orderBy("position", "event_id"))

@@ -12,13 +12,13 @@ from corvane.operators.quality import live
 
 def latest_state(atoms: DataFrame) -> DataFrame:
     """(agent, id, updated_at): of each agent the newest live runtime state, ties by id."""
-    a = live(atoms).where("type = 'runtime_state'").select("id", F.coalesce(F.get_json_object("payload", "$.agent_id"), F.get_json_object("payload", "$.subject_agent")).alias("agent"), "updated_at").where("agent is not null").distinct()
+    a = live(atoms).where("type = 'runtime_state'").select("id", F.coalesce(F.get_json_object(parsed(), "$.agent_id"), F.get_json_object(parsed(), "$.subject_agent")).alias("agent"), "updated_at").where("agent is not null").distinct()
     return a.groupBy("agent").agg(F.min(F.struct(F.coalesce(-F.unix_micros("updated_at"), F.lit(2**63 - 1)).alias("t"), "id", "updated_at")).alias("m")).select("agent", "m.id", "m.updated_at")
 
 
 def self_awareness(atoms: DataFrame, types: list[str]) -> DataFrame:
     """(agent, type, n, newest): what an agent knows about itself, by record type."""
-    a = live(atoms).where(F.col("type").isin(*types)).dropDuplicates(["id"]).select("type", "updated_at", F.coalesce(F.get_json_object("payload", "$.agent_id"), F.get_json_object("payload", "$.subject_agent")).alias("agent")).where("agent is not null")
+    a = live(atoms).where(F.col("type").isin(*types)).dropDuplicates(["id"]).select("type", "updated_at", F.coalesce(F.get_json_object(parsed(), "$.agent_id"), F.get_json_object(parsed(), "$.subject_agent")).alias("agent")).where("agent is not null")
     return a.groupBy("agent", "type").agg(F.count(F.lit(1)).alias("n"), F.max("updated_at").alias("newest"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import derived, problems, reads, store, upkeep
+from corvane.plans import derived, problems, reads, store, upkeep, whole
 
-_MODULES = [problems, store, derived, reads, upkeep]
+_MODULES = [problems, store, derived, reads, upkeep, whole]
 
 
 def all_queries() -> dict:
