@@ -60,8 +60,10 @@ _NEVER = np.iinfo(np.int64).max
 
 
 def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walks rows sorted by (space, ref); a range of keys ends at CHUNK distinct keys."""
+    """Walks rows sorted by (space, ref); a range has at most CHUNK distinct keys, and once CHUNK rows are held all keys but
+    the last, which may go on, are worked off."""
     held: list[tuple] = []
+    rows = 0
 
     def month(us: int) -> int:
         d = datetime.utcfromtimestamp(us / 1e6) if us >= 0 else datetime(1970, 1, 1)
@@ -128,17 +130,22 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         role = b.column("role").to_numpy()
         us = at.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
         held.append((b.column("space").to_numpy(), b.column("ref").to_numpy(zero_copy_only=False), role, b.column("period").to_numpy(), us))
-        while True:
-            refs = np.concatenate([h[1] for h in held])
-            spaces = np.concatenate([h[0] for h in held])
-            if len(refs) < CHUNK:
-                break
-            change = np.flatnonzero((refs[1:] != refs[:-1]) | (spaces[1:] != spaces[:-1])) + 1
-            if len(change) < CHUNK:
-                break
-            out = flush(int(change[CHUNK - 1]))
+        rows += b.num_rows
+        if rows < CHUNK:  # fewer rows than keys a range may have
+            continue
+        refs = np.concatenate([h[1] for h in held])
+        spaces = np.concatenate([h[0] for h in held])
+        change = np.flatnonzero((refs[1:] != refs[:-1]) | (spaces[1:] != spaces[:-1])) + 1
+        ends = [*change[CHUNK - 1 :: CHUNK].tolist()]  # a range of CHUNK keys each
+        if len(change):
+            ends.append(int(change[-1]))  # the last key may go on in the next batch
+        done = 0
+        for end in dict.fromkeys(ends):
+            out = flush(end - done)
+            done = end
             if out is not None:
                 yield out
+        rows = sum(len(h[1]) for h in held)
     if held:
         out = flush(None)
         if out is not None:
