@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import changes, graph, hierarchy, journal, quality, references, retrieval, scans, text_index, views
+from corvane.operators import archive, changes, derive, graph, hierarchy, journal, lookup, quality, references, retrieval, text_index, upkeep, views
 from corvane.sources import table
 
 
@@ -32,18 +32,44 @@ class Engine:
     def journal(self) -> DataFrame:
         return self.table("event_journal_entry")
 
-    def retrieve_atom(self, atom_id: str, scope: dict[str, str]) -> DataFrame:
-        one = self.atoms.where(F.col("id") == atom_id).dropDuplicates(["id"])
-        return one.join(scans.visibility_reasons(one, scope), "id")
+    def _refs(self, *ids: str) -> DataFrame:
+        return self.spark.createDataFrame([(i,) for i in ids], "ref string")
 
-    def retrieve_evidence(self, evidence_id: str) -> DataFrame:
-        return self.table("evidence").where(F.col("evidence_id") == evidence_id).dropDuplicates(["evidence_id"])
+    def retrieve_atom(self, atom_id: str, scope: dict[str, str], **options) -> DataFrame:
+        """(ref, reason, superseded_by, and the record's columns): one row, the record only if no reason is given."""
+        found = lookup.exact_records(self._refs(atom_id), self.atoms.where(F.col("id") == atom_id), self.edges.where(F.col("target_ref") == atom_id), scope, **options)
+        return found.join(self.atoms.where(F.col("id") == atom_id).dropDuplicates(["id"]).drop("superseded_by"), (F.col("ref") == F.col("id")) & F.col("reason").isNull(), "left")
 
-    def classify_refs(self, refs: DataFrame) -> DataFrame:
-        return scans.resolve(refs, self.atoms, self.table("evidence"))
+    def retrieve_evidence(self, evidence_id: str, scope: dict[str, str]) -> DataFrame:
+        one = self.table("evidence").where(F.col("evidence_id") == evidence_id).dropDuplicates(["evidence_id"])
+        return lookup.exact_evidence(self._refs(evidence_id), one, scope).join(one, (F.col("ref") == F.col("evidence_id")) & F.col("reason").isNull(), "left")
 
-    def retrieve_packet(self, cues: list[str], scope: dict[str, str], k: int = 64, budget: int = 4000) -> DataFrame:
-        return retrieval.packet(self.atoms, self.edges, cues, scope, self.now, k, budget)
+    def classify_refs(self, refs: DataFrame, scope: dict[str, str]) -> DataFrame:
+        return lookup.classify(refs, self.atoms, self.table("evidence"), scope)
+
+    def retrieve_packet(self, cues: list[str], scope: dict[str, str], k: int = 64, budget: int = 4000, **options) -> DataFrame:
+        return retrieval.packet(self.atoms, self.edges, cues, scope, self.now, k, budget, **options)
+
+    def reading_frame(self, cues: list[str], k: int = 32) -> DataFrame:
+        return derive.frame(self.atoms, self.edges, cues, list(lookup.MANDATORY), list(lookup.SUPPORTING), k, typed=True)
+
+    def conclusions(self) -> DataFrame:
+        return lookup.conclusions(self.atoms, self.edges)
+
+    def decay(self) -> DataFrame:
+        return upkeep.decay_actions(self.atoms, self.edges, self.now)
+
+    def steward(self) -> DataFrame:
+        return upkeep.steward_plan(self.atoms, self.edges)
+
+    def capacity(self, quota: int) -> DataFrame:
+        return upkeep.capacity(self.atoms, quota)
+
+    def conversation_pages(self, after: int, limit: int) -> DataFrame:
+        return views.pages(self.interaction_projection(), after, limit)
+
+    def journal_archive(self, size: int = 512, keep_tail: int = 128, keep_segments: int = 2) -> archive.Archive:
+        return archive.compact(self.journal, size, keep_tail, keep_segments)
 
     def lexical(self, cues: list[str], k: int) -> DataFrame:
         idx = text_index.postings(quality.rendered(self.atoms), "id", "text")

@@ -16,11 +16,6 @@ def digest(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
-def string_digest(c: Column) -> Column:
-    """SHA-256 of a string as JSON, that is with its quotes (quotes and backslashes inside are escaped)."""
-    return F.sha2(F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"')), 256)
-
-
 def stable_id(prefix: str, canonical: Column) -> Column:
     return F.concat(F.lit(prefix + "_"), F.substring(digest(canonical), 1, 20))
 

@@ -11,10 +11,6 @@ def seconds_since(c: Column, now: str) -> Column:
     return F.greatest(F.lit(0), F.unix_timestamp(F.to_timestamp(F.lit(now))) - F.unix_timestamp(c))
 
 
-def elapsed(c: Column, now: str) -> Column:
-    return F.coalesce(c <= F.to_timestamp(F.lit(now)), F.lit(False))
-
-
 def recency(c: Column, now: str, span_s: float = 2_592_000.0) -> Column:
     """1 for now, falling to 0 over the span; null counts as 0."""
     return F.coalesce(F.greatest(F.lit(0.0), F.lit(1.0) - seconds_since(c, now) / F.lit(span_s)), F.lit(0.0))

@@ -86,9 +86,3 @@ def encode(docs: DataFrame, key: str, text: str, slots: int = SLOTS) -> DataFram
     v = words.unionByName(grams).groupBy(key, "slot").agg(F.sum("w").alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
     return v.select(key, "slot", (F.col("w") / norm).alias("weight"))
-
-
-def to_dense(sparse: DataFrame, key: str, slots: int = SLOTS) -> DataFrame:
-    """(key, vec array<double>) of the rows of encode()."""
-    m = sparse.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "weight"))).alias("m"))
-    return m.select(key, F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vec"))

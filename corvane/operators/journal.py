@@ -15,21 +15,6 @@ from corvane.session import Workspace
 INSERT_MODE = ("atom_committed", "memories_distilled", "memory_transaction_committed", "atom_merged")
 
 
-def distinct_events(journal: DataFrame) -> DataFrame:
-    """Accepted events once each, the row ingested first."""
-    rest = [c for c in journal.columns if c not in ("event_id", "payload")]
-    j = journal.where((F.col("result_status") == "accepted") & F.col("event_id").isNotNull())
-    return j.groupBy("event_id").agg(F.min_by(F.struct(*rest, "payload"), F.struct("graph_version", "ingested_at")).alias("r")).select("event_id", *[F.col(f"r.{c}").alias(c) for c in [*rest, "payload"]])
-
-
-def projected_edges(events: DataFrame) -> DataFrame:
-    """(edge_id, graph_version, pos, insert_only, deleted, source_ref, target_ref, relation) of all events."""
-    kind = "array<struct<edge_id:string,id:string,source_ref:string,target_ref:string,relation:string,deleted:boolean>>"
-    e = F.from_json(F.get_json_object("payload", "$.projected_edges"), kind)
-    x = events.select("graph_version", F.col("event_type").isin(*INSERT_MODE).alias("insert_only"), F.posexplode(e).alias("pos", "e"))
-    return x.select(F.coalesce("e.edge_id", "e.id", F.concat_ws("|", "e.source_ref", "e.relation", "e.target_ref")).alias("edge_id"), "graph_version", "pos", "insert_only", F.coalesce("e.deleted", F.lit(False)).alias("deleted"), "e.source_ref", "e.target_ref", "e.relation")
-
-
 def fold(rows: DataFrame, key: str) -> DataFrame:
     """The state after rows (key, graph_version, pos, insert_only, deleted, ...) are applied in order.
 

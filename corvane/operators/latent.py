@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.vectors import idf
+from corvane.functions.vectors import cosine, idf
 from corvane.operators.text_index import top_terms
 
 TERMS, COMPONENTS = 300, 32  # bounds of what comes to the driver
@@ -50,3 +50,18 @@ def token_vectors(index: DataFrame, key: str, terms: int = TERMS, components: in
     v = v * np.sqrt(values[keep])
     v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     return spark.createDataFrame([(t, [float(x) for x in np.round(v[i], 8)]) for t, i in at.items()], schema)
+
+
+def usable(rows: DataFrame, dimensions: int) -> DataFrame:
+    """(token, vec): of each token the newest build, if it is an array of so many finite numbers that are not all zero."""
+    v = F.from_json("vector_json", "array<double>")
+    fine = (F.col("dimensions") == dimensions) & (F.size("v") == dimensions) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    t = rows.where("token is not null").select("token", "graph_version", "dimensions", v.alias("v")).select("token", F.struct("graph_version", F.when(fine, F.col("v")).alias("v")).alias("r"))
+    return t.groupBy("token").agg(F.max("r").alias("r")).where("r.v is not null").select("token", F.col("r.v").alias("vec"))
+
+
+def candidates(vectors: DataFrame, cue: list[float], k: int, least: float) -> DataFrame:
+    """(token, sim): the k tokens most similar to a cue's vector, the cue itself left out; ties by token."""
+    sim = cosine(F.col("vec"), F.array(*[F.lit(x) for x in cue]))
+    same = F.col("vec") == F.array(*[F.lit(x) for x in cue])
+    return vectors.where(~same).select("token", sim.alias("sim")).where(F.col("sim") >= least).orderBy(F.desc("sim"), "token").limit(k)

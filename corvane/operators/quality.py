@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -81,6 +81,11 @@ def rendered(atoms: DataFrame) -> DataFrame:
     return atoms.dropDuplicates(["id"]).select("id", F.coalesce(first_filled(g("claim"), g("name"), g("description"), g("summary")), F.col("payload")).alias("text"))
 
 
+def record_text() -> Column:
+    """Id, type and canonical payload as one text."""
+    return F.concat_ws(" ", "id", "type", canonical_json(F.col("payload")))
+
+
 def age_buckets(atoms: DataFrame, now: str) -> DataFrame:
     days = seconds_since(F.col("created_at"), now) / 86400
     b = F.when(days.isNull(), "unknown").when(days < 1, "day").when(days < 7, "week").when(days < 30, "month").otherwise("older")

@@ -15,13 +15,6 @@ HOT_ORDER = ("active", "proposed")
 LOW_HEALTH = ("confounding", "low_utility", "merged", "orphaned", "stale")
 
 
-def latest_rows(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """One row per key: the last by the given columns; rows that repeat one collapse."""
-    rest = [c for c in df.columns if c != key]
-    best = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"))
-    return best.select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
-
-
 def hot_rank(c: str = "lifecycle_state") -> Column:
     rank = F.lit(len(HOT_ORDER))
     for i, state in reversed(list(enumerate(HOT_ORDER))):

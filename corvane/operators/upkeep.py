@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corvane.functions.records import parsed
 from corvane.functions.text import first_filled
 from corvane.functions.times import seconds_since
-from corvane.operators import graph, scans, views
+from corvane.operators import derive, graph, quality, scans, views
 from corvane.operators.quality import live
 from corvane.session import Workspace
 
@@ -226,3 +226,29 @@ def source_refs(atoms: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     every = F.flatten(F.array(F.coalesce("evidence_refs", none), *[F.coalesce(n, none) for n in named]))
     return live(atoms).dropDuplicates(["id"]).select("id", F.explode(F.array_distinct(every)).alias("ref")).where("ref is not null and ref <> ''")
+
+
+def steward_plan(atoms: DataFrame, edges: DataFrame) -> DataFrame:
+    """(step, ref): what a steward run would do, by step: links to prune, links to isolate because an end is only
+    proposed, exact copies and records of one stated key to archive."""
+    ids = live(atoms).where("lifecycle_state = 'proposed'").select("id").distinct()
+    e = graph.live_edges(edges).select("edge_id", "source_ref", "target_ref")
+    ends = e.select("edge_id", F.explode(F.array("source_ref", "target_ref")).alias("id")).join(ids, "id", "left_semi")
+    keyed = live(atoms).select("id", field("retention.deduplication_key").alias("k"), F.coalesce("utility", F.lit(0.0)).alias("u"), F.coalesce("updated_at", F.timestamp_micros(F.lit(0))).alias("at"))
+    steps = {
+        "isolate": ends.select("edge_id"),
+        "prune": derive.edges_to_retire(edges, atoms).select("edge_id"),
+        "archive_exact": quality.exact_duplicates(atoms).select("id"),
+        "archive_structured": quality.keep_best(keyed, "k", "id", "u", "at").select("id"),
+    }
+    out = None
+    for name, df in steps.items():
+        part = df.toDF("ref").select(F.lit(name).alias("step"), "ref")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def proposal_order(proposals: DataFrame, k: int) -> DataFrame:
+    """(source_ref, target_ref, relation, place): the first k proposals, low risk first, then by what they link."""
+    order = [*([F.asc(F.col("risk") != "low")] if "risk" in proposals.columns else []), F.asc("source_ref"), F.asc("target_ref"), F.asc("relation")]
+    return proposals.orderBy(*order).limit(k).select("source_ref", "target_ref", "relation", F.row_number().over(W.orderBy(*order)).alias("place"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import scopes
-from corvane.operators import changes, commands, derive, graph, journal, lookup, quality, upkeep, views
+from corvane.operators import changes, commands, derive, graph, journal, latent, lookup, quality, text_index, upkeep, views
 from corvane.plans import derived, problems, store
 from corvane.plans.store import _SELF, _W, A, E, RULES, atoms, edges, evidence, log
 from corvane.sources import table
@@ -131,26 +131,37 @@ z AS (SELECT id AS ref FROM (SELECT id, sum(ln((n + 1) / (df + 1)) + 1) AS s FRO
 _names = lambda xs: ", ".join(f"'{x}'" for x in xs)
 
 
-@query(f"""
+def _frame_sql(mandatory, supporting, unit: str) -> str:
+    return f"""
 WITH RECURSIVE {_LEX},
-must AS (SELECT source_ref AS a, target_ref AS b FROM {E} WHERE relation IN ({_names(lookup.MANDATORY)})), m2 AS (SELECT a, b FROM must UNION SELECT b, a FROM must),
-sup AS (SELECT source_ref AS a, target_ref AS b FROM {E} WHERE relation IN ({_names(lookup.SUPPORTING)})), s2 AS (SELECT a, b FROM sup UNION SELECT b, a FROM sup),
+must AS (SELECT source_ref AS a, target_ref AS b FROM {E} WHERE relation IN ({_names(mandatory)})), m2 AS (SELECT a, b FROM must UNION SELECT b, a FROM must),
+sup AS (SELECT source_ref AS a, target_ref AS b FROM {E} WHERE relation IN ({_names(supporting)})), s2 AS (SELECT a, b FROM sup UNION SELECT b, a FROM sup),
 h1 AS (SELECT DISTINCT b AS ref FROM m2 WHERE a IN (SELECT ref FROM z) AND b NOT IN (SELECT ref FROM z)),
 h2 AS (SELECT DISTINCT b AS ref FROM m2 WHERE a IN (SELECT ref FROM h1) AND b NOT IN (SELECT ref FROM z) AND b NOT IN (SELECT ref FROM h1)),
 c0 AS (SELECT ref, 0 AS hop, 'seed' AS kind FROM z UNION ALL SELECT ref, 1, 'mandatory' FROM h1 UNION ALL SELECT ref, 2, 'mandatory' FROM h2),
 c AS (SELECT * FROM c0 UNION ALL SELECT DISTINCT b, 1, 'supporting' FROM s2 WHERE a IN (SELECT ref FROM c0) AND b NOT IN (SELECT ref FROM c0)),
-inn AS (SELECT DISTINCT source_ref AS a, target_ref AS b, relation FROM {E} WHERE relation IN ({_names(lookup.MANDATORY + lookup.SUPPORTING)}) AND source_ref IN (SELECT ref FROM c) AND target_ref IN (SELECT ref FROM c)),
+inn AS (SELECT DISTINCT source_ref AS a, target_ref AS b, relation FROM {E} WHERE relation IN ({_names([*mandatory, *supporting])}) AND source_ref IN (SELECT ref FROM c) AND target_ref IN (SELECT ref FROM c)),
 adj AS (SELECT a, b FROM inn UNION SELECT b, a FROM inn), r AS (SELECT ref, ref AS o FROM c UNION SELECT r.ref, adj.b FROM r JOIN adj ON r.o = adj.a),
 k AS (SELECT ref, min(o) AS component FROM r GROUP BY 1),
 t AS (SELECT component, list_distinct(list(type)) AS ty FROM k LEFT JOIN (SELECT DISTINCT id, type FROM {A}) ON id = ref GROUP BY 1),
 l AS (SELECT component, list_distinct(list(relation)) AS rl FROM inn JOIN k ON k.ref = a GROUP BY 1),
-u AS (SELECT component, CASE WHEN list_contains(rl, 'rel:contradicts') THEN 'conflict_set' WHEN list_has_any(rl, ['rel:supersedes', 'rel:decided']) THEN 'decision_chain' WHEN list_contains(ty, 'commitment') OR list_contains(rl, 'rel:made_commitment') THEN 'commitment_history'
-  WHEN list_contains(ty, 'episode') THEN 'episode' WHEN list_contains(rl, 'rel:corrected_by') OR list_contains(ty, 'action_outcome') THEN 'failure_correction' WHEN list_has_any(ty, ['goal', 'policy', 'runtime_state']) THEN 'current_state' ELSE 'related_memory' END AS unit FROM t LEFT JOIN l USING (component))
-SELECT component, c.ref, c.hop, c.kind, unit FROM c JOIN k ON k.ref = c.ref JOIN u USING (component)""")
+u AS (SELECT component, {unit} AS unit FROM t LEFT JOIN l USING (component))
+SELECT component, c.ref, c.hop, c.kind, unit FROM c JOIN k ON k.ref = c.ref JOIN u USING (component)"""
+
+
+_UNIT = """CASE WHEN list_contains(rl, 'rel:contradicts') THEN 'conflict_set' WHEN list_has_any(rl, ['rel:supersedes', 'rel:decided']) THEN 'decision_chain' WHEN list_contains(ty, 'commitment') OR list_contains(rl, 'rel:made_commitment') THEN 'commitment_history'
+  WHEN list_contains(ty, 'episode') THEN 'episode' WHEN list_contains(rl, 'rel:corrected_by') OR list_contains(ty, 'action_outcome') THEN 'failure_correction' WHEN list_has_any(ty, ['goal', 'policy', 'runtime_state']) THEN 'current_state' ELSE 'related_memory' END"""
+
+
+@query(_frame_sql(lookup.MANDATORY, lookup.SUPPORTING, _UNIT))
 def frame_units(s, d):
     return derive.frame(atoms(s, d), edges(s, d), ["greenhouse", "quota", "ratified"], list(lookup.MANDATORY), list(lookup.SUPPORTING), typed=True)
 
 
+# reading_frame is the same over few relations and with units typed by relations alone
+SQL["reading_frame"] = _frame_sql(["rel:supersedes", "rel:contradicts"], ["rel:supports", "rel:derived_from"], "CASE WHEN list_contains(rl, 'rel:contradicts') THEN 'conflict_set' WHEN list_contains(rl, 'rel:supersedes') THEN 'decision_chain' WHEN list_contains(rl, 'rel:corrected_by') THEN 'failure_correction' ELSE 'related' END")
+
+
 # ----------------------------------------------------------------------------------------------- commands
 _HALF = "(SELECT * FROM event_journal_entry WHERE graph_version <= (SELECT max(graph_version) // 2 FROM event_journal_entry))"
 
@@ -193,3 +204,42 @@ SELECT event_id, v AS graph_version, previous_event_hash, checksum FROM c WHERE
 def append_chain(s, d):
     e = log(s, d).where("event_id is not null").groupBy("event_id").agg(F.min("graph_version").alias("position"), F.min("payload_digest").alias("payload_digest"))
     return journal.append(e, 0, "genesis")
+
+
+# ----------------------------------------------------------------------------------------- vectors and text
+@query(f"""
+WITH {store._INDEX}, top AS (SELECT token FROM idx GROUP BY 1 ORDER BY count(*) DESC, token LIMIT 300), i AS (SELECT * FROM idx WHERE token IN (SELECT token FROM top)), n AS (SELECT count(DISTINCT doc_id) AS n FROM i),
+w AS (SELECT doc_id, token, ln((n + 1) / (df + 1)) + 1 AS w FROM i JOIN (SELECT token, count(*) AS df FROM i GROUP BY 1) USING (token), n)
+SELECT x.token AS a, y.token AS b, round(sum(x.w * y.w), 6) AS weight FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.token <= y.token GROUP BY ALL""")
+def latent_gram(s, d):
+    return latent.cooccurrence(text_index.postings(store.docs(s, d), "doc_id", "text"), "doc_id").withColumn("weight", F.round("weight", 6))
+
+
+# every retained token has a vector of all components: the Gram matrix of the corpus has full rank
+SQL["latent_token_vectors"] = f"WITH {store._INDEX} SELECT token, 32 AS components FROM idx GROUP BY 1 ORDER BY count(*) DESC, token LIMIT 300"
+
+
+@query("""
+WITH v AS (SELECT token, TRY_CAST(vector_json AS DOUBLE[]) AS x FROM (SELECT DISTINCT token, dimensions, vector_json FROM token_latent_vectors t WHERE graph_version = (SELECT max(graph_version) FROM token_latent_vectors u WHERE u.token = t.token)) WHERE dimensions = 64),
+w AS (SELECT token, x FROM v WHERE len(x) = 64 AND len(list_filter(x, lambda e: e IS NOT NULL AND isfinite(e))) = 64 AND list_max(list_transform(x, lambda e: abs(e))) > 0),
+q AS (SELECT min(token) AS token FROM w)
+SELECT w.token, round(list_cosine_similarity(w.x, (SELECT x FROM w JOIN q USING (token))), 4) AS sim FROM w, q WHERE w.token <> q.token AND list_cosine_similarity(w.x, (SELECT x FROM w JOIN q USING (token))) >= 0.22 ORDER BY list_cosine_similarity(w.x, (SELECT x FROM w JOIN q USING (token))) DESC, w.token LIMIT 64""")
+def latent_candidates(s, d):
+    v = latent.usable(table(s, d, "token_latent_vectors"), 64)
+    cue = v.orderBy("token").limit(1).select("vec").first()
+    return latent.candidates(v, [float(x) for x in cue.vec] if cue else [0.0] * 64, 64, 0.22).withColumn("sim", F.round("sim", 4))
+
+
+@query(f"""
+WITH e AS {E}, a AS {A},
+x AS (SELECT 'isolate' AS step, edge_id AS ref FROM e WHERE source_ref IN (SELECT id FROM a WHERE lifecycle_state = 'proposed') OR target_ref IN (SELECT id FROM a WHERE lifecycle_state = 'proposed')
+  UNION ALL SELECT 'prune', edge_id FROM ({derived.SQL["edges_to_retire"]})
+  UNION ALL SELECT 'archive_structured', id FROM ({store.SQL["structured_dedupe"].replace("json_extract_string(payload, '$.retention.deduplication_key')", "p->>'$.retention.deduplication_key'").replace(f"FROM {A} WHERE json_valid(payload)", f"FROM {_P}")}))
+SELECT DISTINCT step, ref FROM x""")
+def steward_plan(s, d):
+    return upkeep.steward_plan(atoms(s, d), edges(s, d))
+
+
+@query(f"SELECT source_ref, target_ref, relation, row_number() OVER (ORDER BY source_ref, target_ref, relation)::int AS place FROM ({derived.SQL['processor_proposals']}) ORDER BY 4 LIMIT 200")
+def proposal_order(s, d):
+    return upkeep.proposal_order(derived.QUERIES["processor_proposals"](s, d), 200)
