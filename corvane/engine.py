@@ -72,8 +72,7 @@ class Engine:
         return archive.compact(self.journal, size, keep_tail, keep_segments)
 
     def lexical(self, cues: list[str], k: int) -> DataFrame:
-        idx = text_index.postings(quality.rendered(self.atoms), "id", "text")
-        return text_index.lexical_topk(idx, "id", cues, k)
+        return text_index.best_matches(quality.rendered(self.atoms), "id", "text", cues, k)
 
     def memory_head(self) -> DataFrame:
         return journal.heads(self.journal)

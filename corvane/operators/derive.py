@@ -137,8 +137,7 @@ def frame(atoms: DataFrame, edges: DataFrame, cues: list[str], mandatory: list[s
     parts of it are units, typed by the relations inside and, if typed is set, by the types of their records.
     """
     ws = Workspace(atoms.sparkSession, "frame")
-    idx = text_index.postings(quality.rendered(live(atoms)), "id", "text")
-    seeds = ws.save(text_index.lexical_topk(idx, "id", cues, k).select(F.col("id").alias("ref")), "seeds")
+    seeds = ws.save(text_index.best_matches(quality.rendered(live(atoms)), "id", "text", cues, k).select(F.col("id").alias("ref")), "seeds")
     e = ws.save(graph.live_edges(edges).where(F.col("relation").isin(*mandatory, *supporting)).select("source_ref", "target_ref", "relation").distinct(), "edges")
     around = ws.save(graph.closure(e, seeds, mandatory, supporting, 2), "around")
     refs = around.select("ref")

@@ -9,6 +9,7 @@ from corvane.functions.records import parsed
 from corvane.functions.scopes import access_visible, scope_map, scope_visible
 from corvane.operators import graph, scans, text_index
 from corvane.operators.quality import live
+from corvane.session import Workspace
 
 #: Lifecycle states a reader may see, by mode; relations that bind two records into one unit, and
 #: those that only give context; fields that tag a record with a person, a project or a thread.
@@ -118,16 +119,23 @@ def value_text(payload: Column, depth: int = 3) -> Column:
     return F.coalesce(text, payload)
 
 
-def search_index(atoms: DataFrame, lifecycle: tuple[str, ...] = ("active", "proposed")) -> DataFrame:
-    """(id, token): content tokens of the payload values of live records that are searched; archived ones have none."""
+def search_texts(atoms: DataFrame, lifecycle: tuple[str, ...] = ("active", "proposed")) -> DataFrame:
+    """(id, text): the payload values of live records that are searched; archived ones are not."""
     a = live(atoms).where(F.col("lifecycle_state").isin(*lifecycle)).dropDuplicates(["id"])
-    return text_index.postings(a.select("id", value_text(parsed()).alias("text")), "id", "text")
+    return a.select("id", value_text(parsed()).alias("text"))
+
+
+def search_index(atoms: DataFrame, lifecycle: tuple[str, ...] = ("active", "proposed")) -> DataFrame:
+    """(id, token): content tokens of search_texts()."""
+    return text_index.postings(search_texts(atoms, lifecycle), "id", "text")
 
 
-def candidate_pool(index: DataFrame, edges: DataFrame, cues: list[str], limit: int) -> DataFrame:
+def candidate_pool(texts: DataFrame, edges: DataFrame, cues: list[str], limit: int) -> DataFrame:
     """(id, place): the `limit` best records by words, then their neighbours, then the neighbours of these, each once;
     2 * limit in all. Hops are ordered by id."""
-    direct = text_index.lexical_topk(index, "id", cues, limit).select(F.col("id").alias("ref"), F.round("score", 9).alias("score"))
+    ws = Workspace(texts.sparkSession, "pool")
+    direct = ws.save(text_index.best_matches(texts, "id", "text", cues, limit), "direct").select(F.col("id").alias("ref"), F.round("score", 9).alias("score"))
+    edges = ws.save(edges.select("source_ref", "target_ref"), "links")
     near = graph.neighbours(edges, direct.select("ref"), 2).where("hop > 0").select("ref", "hop", F.lit(0.0).alias("score"))
     both = direct.select("ref", F.lit(0).alias("hop"), "score").unionByName(near).orderBy("hop", F.desc("score"), "ref").limit(2 * limit)
     return both.select(F.col("ref").alias("id"), F.row_number().over(graph.W.orderBy("hop", F.desc("score"), "ref")).alias("place"))

@@ -120,7 +120,7 @@ w AS (SELECT DISTINCT b AS ref FROM adj WHERE a IN (SELECT ref FROM o) AND b NOT
 u AS (SELECT ref, 0 AS hop, score FROM top UNION ALL SELECT ref, 1, 0 FROM o UNION ALL SELECT ref, 2, 0 FROM w)
 SELECT ref AS id, row_number() OVER (ORDER BY hop, score DESC, ref)::int AS place FROM u ORDER BY 2 LIMIT 128""")
 def candidates_union(s, d):
-    return lookup.candidate_pool(lookup.search_index(atoms(s, d)), graph.live_edges(edges(s, d)), ["greenhouse", "ratified", "quarry"], 64)
+    return lookup.candidate_pool(lookup.search_texts(atoms(s, d)), graph.live_edges(edges(s, d)), ["greenhouse", "ratified", "quarry"], 64)
 
 
 @query(f"""
@@ -128,7 +128,7 @@ WITH {_WORDS}, n AS (SELECT count(DISTINCT id) AS n FROM idx), f AS (SELECT toke
 top AS (SELECT id AS ref, round(sum(ln((n + 1) / (df + 1)) + 1), 9) AS score FROM idx JOIN f USING (token), n WHERE token IN ('greenhouse', 'ratified', 'quarry') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 64)
 SELECT edge_id, source_ref, target_ref FROM {E} WHERE relation = 'rel:contradicts' AND (source_ref IN (SELECT ref FROM top) OR target_ref IN (SELECT ref FROM top))""")
 def conflicts_of_candidates(s, d):
-    best = text_index.lexical_topk(lookup.search_index(atoms(s, d)), "id", ["greenhouse", "ratified", "quarry"], 64)
+    best = text_index.best_matches(lookup.search_texts(atoms(s, d)), "id", "text", ["greenhouse", "ratified", "quarry"], 64)
     return scans.edges_of(graph.live_edges(edges(s, d)), best.select(F.col("id").alias("ref")), ["rel:contradicts"]).select("edge_id", "source_ref", "target_ref")
 
 

@@ -124,8 +124,7 @@ idx AS (SELECT DISTINCT doc_id, w AS token FROM parts WHERE length(w) > 1 AND w
 
 @query(f"WITH {_INDEX}, n AS (SELECT count(DISTINCT doc_id) AS n FROM idx), f AS (SELECT token, count(*) AS df FROM idx GROUP BY 1), x AS (SELECT doc_id, sum(ln((n + 1) / (df + 1)) + 1) AS score FROM idx JOIN f USING (token), n WHERE token IN ('greenhouse', 'ratified', 'quarry') GROUP BY 1) SELECT doc_id, round(score, 6) AS score FROM x ORDER BY round(score, 9) DESC, doc_id LIMIT 100")
 def lexical_topk(s, d):
-    idx = text_index.postings(docs(s, d), "doc_id", "text")
-    return text_index.lexical_topk(idx, "doc_id", ["greenhouse", "ratified", "quarry"], 100).select("doc_id", F.round("score", 6).alias("score"))
+    return text_index.best_matches(docs(s, d), "doc_id", "text", ["greenhouse", "ratified", "quarry"], 100).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_INDEX}, top AS (SELECT token FROM idx GROUP BY 1 ORDER BY count(*) DESC, token LIMIT 50) SELECT doc_id, token FROM idx WHERE token IN (SELECT token FROM top)")

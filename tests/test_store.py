@@ -81,6 +81,8 @@ def test_index_and_latent_vectors(spark):
     d = spark.createDataFrame([(1, "red apple pie"), (2, "red apple tart"), (3, "blue sea wave"), (4, "blue sea sand"), (5, None)], "id int, text string")
     i = text_index.postings(d, "id", "text")
     top = text_index.lexical_topk(i, "id", ["apple", "tart"], 2).collect()
+    assert text_index.best_matches(d, "id", "text", ["apple", "tart"], 2).collect() == top
+    assert text_index.best_matches(d, "id", "text", [], 2).count() == 0 and text_index.best_matches(d.limit(0), "id", "text", ["apple"], 2).count() == 0
     assert [r.id for r in top] == [2, 1]
     v = {r.token: r.vec for r in latent.token_vectors(i, "id", 20, 4).collect()}
     dot = lambda a, b: sum(x * y for x, y in zip(v[a], v[b]))
