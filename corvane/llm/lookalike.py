@@ -164,7 +164,8 @@ def unify(df: DataFrame, key: str, text: str = "text", letters: dict[str, str] |
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     plain = rows.where(F.col("__text").rlike(PLAIN)).select("__key", "__text", F.col("__text").alias("form"))
     odd = rows.where(~F.col("__text").rlike(PLAIN)).withColumn("id", F.struct(F.xxhash64("__key", "__text").alias("h"), F.monotonically_increasing_id().alias("n")))
-    odd = odd.repartition("id")
+    # a text grows much when it is exploded: more partitions than its bytes would get
+    odd = odd.repartition(4 * max(rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism), "id")
     out_of_sight = _broadcast(spark, _replacements(tuple(sorted(letters.items()))))
     lone = F.array(F.struct(F.col("piece").alias("c"), F.lit(0).alias("k")))
     # a line break of two characters is one
