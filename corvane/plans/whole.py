@@ -243,3 +243,33 @@ def steward_plan(s, d):
 @query(f"SELECT source_ref, target_ref, relation, row_number() OVER (ORDER BY source_ref, target_ref, relation)::int AS place FROM ({derived.SQL['processor_proposals']}) ORDER BY 4 LIMIT 200")
 def proposal_order(s, d):
     return upkeep.proposal_order(derived.QUERIES["processor_proposals"](s, d), 200)
+
+
+# ---------------------------------------------------------------------------------------------- provenance
+_WAYS = f"""
+raw AS (SELECT source_ref AS r, target_ref AS up FROM {E} WHERE relation = 'rel:derived_from'
+  UNION SELECT id, x FROM (SELECT id, unnest(CASE WHEN json_type(payload, '$.source_refs') = 'ARRAY' THEN payload->>'$.source_refs[*]' ELSE [] END) AS x FROM atoms WHERE json_valid(payload)) WHERE x IN (SELECT id FROM atoms)),
+up AS (SELECT DISTINCT r, up FROM raw WHERE r IS NOT NULL AND up IS NOT NULL),
+w AS (SELECT DISTINCT id AS ref, [id] AS path, false AS cyc FROM {A}
+  UNION ALL SELECT w.ref, list_append(w.path, u.up), list_contains(w.path, u.up) FROM w JOIN up u ON u.r = w.path[-1] WHERE NOT w.cyc AND (list_contains(w.path, u.up) OR u.up IN (SELECT id FROM atoms))),
+ends AS (SELECT ref, path, path[-1] AS last FROM w WHERE NOT cyc AND path[-1] NOT IN (SELECT r FROM up)),
+rec AS (SELECT id, type, list_filter(evidence_refs, lambda x: x IS NOT NULL) AS refs FROM (SELECT DISTINCT ON (id) * FROM atoms)),
+ev AS (SELECT evidence_id, coalesce(nullif(p->>'$.independence_group', ''), nullif(source_ref, '')) AS g, coalesce(nullif(p->>'$.testimony_family', ''), nullif(source_type, '')) AS f FROM (SELECT DISTINCT ON (evidence_id) *, CASE WHEN json_valid(payload) THEN payload::json END AS p FROM evidence)),
+led AS (SELECT ref, path, last, type, unnest(CASE WHEN coalesce(len(refs), 0) = 0 THEN [NULL] ELSE refs END) AS ev FROM ends JOIN rec ON rec.id = last),
+found AS (SELECT ref, CASE WHEN ev IS NULL THEN path ELSE list_append(path, ev) END AS path, coalesce(ev, last) AS root_ref, CASE WHEN ev IS NULL THEN 'atom' ELSE 'evidence' END AS kind,
+  coalesce(CASE WHEN ev IS NOT NULL THEN coalesce(g, ev) END, last) AS independence_group, coalesce(CASE WHEN ev IS NOT NULL THEN f ELSE nullif(type, '') END, 'unknown') AS testimony_family FROM led LEFT JOIN ev e ON e.evidence_id = led.ev)"""
+SQL["provenance_roots"] = f"WITH RECURSIVE {_WAYS} SELECT DISTINCT ref, root_ref, kind, independence_group, testimony_family FROM found"
+SQL["provenance_summary"] = f"""WITH RECURSIVE {_WAYS},
+per AS (SELECT ref, count(DISTINCT root_ref) AS roots, count(DISTINCT independence_group) AS groups, count(DISTINCT testimony_family) AS families, max(len(path) - 1)::int AS depth FROM found GROUP BY 1),
+loops AS (SELECT ref, bool_or(path[-1] = ref) AS own FROM w WHERE cyc GROUP BY 1)
+SELECT coalesce(per.ref, loops.ref) AS ref, coalesce(roots, 0) AS roots, coalesce(groups, 0) AS independence_groups, coalesce(families, 0) AS testimony_families, coalesce(depth, 0) AS ancestry_depth, own IS NOT NULL AS circular_support, coalesce(own, false) AS self_descendant_support FROM per FULL JOIN loops ON loops.ref = per.ref"""
+SQL["provenance_common_ancestors"] = f"WITH RECURSIVE {_WAYS} SELECT ref, atom_ref, count(*) AS root_path_count FROM (SELECT ref, unnest(list_distinct(path[2:len(path) - 1])) AS atom_ref FROM found) GROUP BY ALL HAVING count(*) > 1"
+SQL["reference_repairs"] = f"""
+WITH rows AS (SELECT 'atom' AS record_kind, id AS record_ref, coalesce(evidence_refs, []) AS refs, CASE WHEN json_type(p, '$.source_refs') = 'ARRAY' THEN p->>'$.source_refs[*]' ELSE [] END AS had, CASE WHEN json_type(p, '$.unresolved_source_refs') = 'ARRAY' THEN p->>'$.unresolved_source_refs[*]' ELSE [] END AS open FROM {_P} WHERE lifecycle_state IN ('active', 'proposed')
+  UNION ALL SELECT 'edge', edge_id, coalesce(evidence_refs, []), [], [] FROM (SELECT DISTINCT ON (edge_id) * FROM edges WHERE NOT coalesce(deleted, false) AND coalesce(lifecycle_state, 'active') = 'active')),
+x AS (SELECT record_kind, record_ref, trim(unnest(refs)) AS ref, generate_subscripts(refs, 1) AS pos FROM rows),
+y AS (SELECT record_kind, record_ref, ref, min(pos) AS pos FROM x WHERE ref <> '' GROUP BY ALL),
+z AS (SELECT record_kind, record_ref, coalesce(list(ref ORDER BY pos) FILTER (ref IN (SELECT evidence_id FROM evidence)), []) AS kept, coalesce(list(ref ORDER BY pos) FILTER (ref NOT IN (SELECT evidence_id FROM evidence WHERE evidence_id IS NOT NULL) AND ref IN (SELECT id FROM atoms)), []) AS moved,
+  coalesce(list(ref ORDER BY pos) FILTER (ref NOT IN (SELECT evidence_id FROM evidence WHERE evidence_id IS NOT NULL) AND ref NOT IN (SELECT id FROM atoms WHERE id IS NOT NULL)), []) AS lost FROM y GROUP BY ALL),
+r AS (SELECT rows.*, coalesce(kept, []) AS kept, coalesce(moved, []) AS moved, coalesce(lost, []) AS lost FROM rows LEFT JOIN z USING (record_kind, record_ref))
+SELECT record_kind, record_ref, kept AS retained_evidence_refs, moved AS moved_source_refs, lost AS moved_unresolved_refs, list_concat(had, moved) AS source_refs, list_concat(open, lost) AS unresolved_source_refs FROM r WHERE kept IS DISTINCT FROM refs"""
