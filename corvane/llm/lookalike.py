@@ -1,14 +1,17 @@
 """Problem 9: one consistent form for text that looks the same but is written with different characters.
 
-1. A text is exploded to positioned code points. Runs of printable ASCII stand for themselves under every rule
-   below, so a run travels as one positioned piece; only its last character, which a mark may follow, is exploded.
-2. A broadcast join replaces each code point: compatibility decomposition, look-alike letters, kinds of space and of
+1. Characters of ASCII stand for themselves under every rule below. What a text has besides, each run of other
+   characters with the ASCII character before it, which a mark may follow, is a stretch; a run of more than
+   STRETCH_MOST characters is cut before its next letter. No rule reaches over the ends of a stretch.
+2. Every different stretch of the table is exploded once to positioned code points.
+3. A broadcast join replaces each code point: compatibility decomposition, look-alike letters, kinds of space and of
    hyphen, nothing for what cannot be seen. The table follows from Unicode's data by rule, its size is checked.
-3. A letter and the marks behind it form a segment; the marks are put in order of their combining class.
-4. A second broadcast join composes whole segments; what is not in its table is composed mark by mark.
-5. Segments are put together again in order of their positions.
+4. A letter and the marks behind it form a segment; the marks are put in order of their combining class.
+5. A second broadcast join composes whole segments; what is not in its table is composed mark by mark. Segments are put
+   together again in order of their positions.
+6. Texts are exploded to positioned stretches, joined with their forms and put together with the ASCII between.
 
-Texts are partitioned by key once; explosion, both joins, the segments and the strings stay inside the partition.
+What a task holds follows from counts, not from bytes of files: POINTS code points, STRETCHES stretches of texts.
 """
 
 from __future__ import annotations
@@ -50,10 +53,13 @@ HYPHENS = "‐‑⁃﹣－"
 #: Characters without an outline that Unicode does not file under formats or controls.
 BLANKS = "͏ᅟᅠ឴឵ㅤﾠ"
 
-#: A run of printable ASCII without its last character, or one code point.
-PIECE = r"[\x20-\x7e]+(?=[\x20-\x7e])|(?s:.)"
+#: Code points behind which a stretch is cut, before the next letter; modifiers and Hangul, whose parts join, do not count.
+STRETCH_MOST = 32
+STRETCH = r"[\x20-\x7e\n\t]?+[^\x20-\x7e\n\t](?:[^\x20-\x7e\n\t]{%d}[[^\x20-\x7e\n\t\p{Lu}\p{Ll}\p{Lo}]\p{IsHangul}]*|[^\x20-\x7e\n\t]*)" % (STRETCH_MOST - 1)
 #: Texts without a character that any rule could touch.
 PLAIN = r"\A[\x20-\x7e\n\t]*\z"
+POINTS, STRETCHES = 100_000, 200_000  # code points, stretches of texts a partition
+FORMS_LIMIT = 8 << 20  # bytes of stretches and their forms up to which they are broadcast
 VOWELS, TAILS = (0x1161, 0x1175), (0x11A8, 0x11C2)  # conjoining jamo that continue a syllable
 TABLE_LIMIT = 64 << 20  # bytes a broadcast table may take; both take less than 2 MB
 
@@ -97,15 +103,15 @@ def replacement(cp: int, letters: dict[str, str] = LOOKALIKES) -> str:
 
 @cache
 def _replacements(letters: tuple[tuple[str, str], ...]) -> pa.Table:
-    """(piece, parts array<struct<c, k>>) of all code points that change or are marks; k: combining class, 1000 and
+    """(cp, parts array<struct<c, k>>) of all code points that change or are marks; k: combining class, 1000 and
     1001 for jamo that continue a syllable."""
     by, rows = dict(letters), []
     kind = lambda c: 1000 if VOWELS[0] <= ord(c) <= VOWELS[1] else 1001 if TAILS[0] <= ord(c) <= TAILS[1] else unicodedata.combining(c)
     for cp in (*range(0x7F), *range(0x7F, 0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE0200)):
         out = replacement(cp, by)
         if out != chr(cp) or kind(chr(cp)):
-            rows.append({"piece": chr(cp), "parts": [{"c": c, "k": kind(c)} for c in out]})
-    return pa.Table.from_pylist(rows, schema=pa.schema([("piece", pa.string()), ("parts", pa.list_(pa.struct([("c", pa.string()), ("k", pa.int32())])))]))
+            rows.append({"cp": chr(cp), "parts": [{"c": c, "k": kind(c)} for c in out]})
+    return pa.Table.from_pylist(rows, schema=pa.schema([("cp", pa.string()), ("parts", pa.list_(pa.struct([("c", pa.string()), ("k", pa.int32())])))]))
 
 
 @cache
@@ -152,25 +158,14 @@ def _stepwise(parts: Column) -> Column:
     return F.aggregate(F.slice(parts, 2, F.size(parts)), start, add, lambda s: F.concat(s["letter"], s["rest"]))
 
 
-def unify(df: DataFrame, key: str, text: str = "text", letters: dict[str, str] | None = None) -> DataFrame:
-    """(key, text, form): the text's consistent form, one row for each row of df with a text.
-
-    Rows with a null text are left out; an empty text and one with nothing visible have an empty or blank form.
-    Letter case, visible accents, punctuation, line breaks and the number of spaces are kept. letters: the look-alike
-    letters, by default LOOKALIKES; confusables() reads a larger mapping from a public file.
-    """
-    spark = df.sparkSession
-    letters = LOOKALIKES if letters is None else letters
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    plain = rows.where(F.col("__text").rlike(PLAIN)).select("__key", "__text", F.col("__text").alias("form"))
-    odd = rows.where(~F.col("__text").rlike(PLAIN)).withColumn("id", F.struct(F.xxhash64("__key", "__text").alias("h"), F.monotonically_increasing_id().alias("n")))
-    # a text grows much when it is exploded: more partitions than its bytes would get
-    odd = odd.repartition(4 * max(rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism), "id")
+def _stretch_forms(stretches: DataFrame, points: int, letters: dict[str, str]) -> DataFrame:
+    """(piece, s): the consistent form of each stretch. stretches: (piece), no piece twice; points: their code points."""
+    spark = stretches.sparkSession
+    odd = stretches.select("piece", F.struct(F.xxhash64("piece").alias("h"), F.monotonically_increasing_id().alias("n")).alias("id")).repartition(1 + points // POINTS, "id")
     out_of_sight = _broadcast(spark, _replacements(tuple(sorted(letters.items()))))
-    lone = F.array(F.struct(F.col("piece").alias("c"), F.lit(0).alias("k")))
-    # a line break of two characters is one
-    pieces = odd.select("id", F.posexplode(F.regexp_extract_all(F.regexp_replace("__text", "\r\n", "\n"), F.lit(PIECE), F.lit(0))).alias("at", "piece"))
-    points = pieces.join(out_of_sight, "piece", "left").select("id", "at", F.posexplode(F.coalesce("parts", lone)).alias("j", "p")).select("id", "at", "j", "p.c", "p.k")
+    lone = F.array(F.struct(F.col("cp").alias("c"), F.lit(0).alias("k")))
+    pieces = odd.select("id", F.posexplode(F.regexp_extract_all("piece", F.lit("(?s)."), F.lit(0))).alias("at", "cp"))
+    points = pieces.join(out_of_sight, "cp", "left").select("id", "at", F.posexplode(F.coalesce("parts", lone)).alias("j", "p")).select("id", "at", "j", "p.c", "p.k")
     in_order = W.partitionBy("id").orderBy("at", "j")
     before, last = F.lag("k").over(in_order), F.lag("c").over(in_order)
     joins_on = ((F.col("k") == 1000) & last.between("ᄀ", "ᄒ")) | ((F.col("k") == 1001) & ((before == 1000) | last.between("가", "힣")))
@@ -186,14 +181,41 @@ def unify(df: DataFrame, key: str, text: str = "text", letters: dict[str, str] |
     alone = (F.size("parts") == 1) | (F.get("parts", F.lit(0))["k"] >= 0)
     composed = composed.select("id", "seg", F.coalesce("composed", F.when(alone, F.col("segment")).otherwise(_stepwise(F.col("parts")))).alias("s"))
     forms = composed.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "s"))), lambda p: p["s"]), "").alias("form"))
-    made = odd.join(forms, "id", "left").select("__key", "__text", F.coalesce("form", F.lit("")).alias("form"))
-    return plain.unionByName(made).withColumnsRenamed({"__key": key, "__text": text})
+    return odd.join(forms, "id", "left").select("piece", F.coalesce("form", F.lit("")).alias("s"))
+
+
+def unify(df: DataFrame, key: str, text: str = "text", letters: dict[str, str] | None = None) -> DataFrame:
+    """(key, text, form): the text's consistent form, one row for each row of df with a text.
+
+    Rows with a null text are left out; an empty text and one with nothing visible have an empty or blank form.
+    Letter case, visible accents, punctuation, line breaks and the number of spaces are kept. letters: the look-alike
+    letters, by default LOOKALIKES; confusables() reads a larger mapping from a public file.
+    """
+    spark = df.sparkSession
+    ws = Workspace(spark, "stretches")
+    letters = LOOKALIKES if letters is None else letters
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    plain = rows.where(F.col("__text").rlike(PLAIN)).select("__key", "__text", F.col("__text").alias("form"))
+    odd = rows.where(~F.col("__text").rlike(PLAIN)).withColumn("id", F.struct(F.xxhash64("__key", "__text").alias("h"), F.monotonically_increasing_id().alias("n")))
+    one_break = F.replace("__text", F.lit("\r\n"), F.lit("\n"))  # a line break of two characters is one
+    cut = F.regexp_extract_all(one_break, F.lit(STRETCH), F.lit(0))
+    stretches = ws.save(odd.select(F.explode(cut).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n")), "stretches")
+    in_all, points = stretches.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.char_length("piece")), F.lit(0))).first()
+    made = ws.save(_stretch_forms(stretches.select("piece"), points, letters), "forms")
+    size = made.agg(F.coalesce(F.sum(F.octet_length("piece") + F.octet_length("s")), F.lit(0))).first()[0]
+    odd = odd.repartition(max(rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism, 1 + in_all // STRETCHES), "id")
+    found = odd.select("id", F.posexplode(cut).alias("at", "piece")).join(F.broadcast(made) if size <= FORMS_LIMIT else made, "piece")
+    found = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "s")))["s"].alias("found"))
+    between = F.split(one_break, STRETCH, -1)
+    form = F.array_join(F.zip_with(between, F.coalesce("found", F.array().cast("array<string>")), lambda b, s: F.concat(b, F.coalesce(s, F.lit("")))), "")
+    whole = odd.join(found, "id", "left").select("__key", "__text", form.alias("form"))
+    return plain.unionByName(whole).withColumnsRenamed({"__key": key, "__text": text})
 
 
 def _hashed(df: DataFrame, key: str, text: str, letters: dict[str, str] | None) -> DataFrame:
-    f = unify(df, key, text, letters).where(F.col("form").rlike(r"\S"))
-    f = f.select(F.col(key).alias("doc"), F.xxhash64("form").alias("f1"), F.xxhash64("form", F.lit(1)).alias("f2"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"))
-    return Workspace(df.sparkSession, "forms").save(f, "hashes")  # read several times, made once
+    # forms without anything visible are left out when this is read: a filter before would make each form twice
+    f = unify(df, key, text, letters).select(F.col("form").rlike(r"\S").alias("seen"), F.col(key).alias("doc"), F.xxhash64("form").alias("f1"), F.xxhash64("form", F.lit(1)).alias("f2"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"))
+    return Workspace(df.sparkSession, "forms").save(f, "hashes").where("seen").drop("seen")  # read several times, made once
 
 
 def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", letters: dict[str, str] | None = None) -> DataFrame:

@@ -61,3 +61,33 @@ def test_pairs(spark):
     assert L.lookalike_pairs(df.limit(0)).count() == 0
     classes = sorted(map(tuple, L.lookalike_classes(df).collect()))
     assert classes == [(1, 1, 1, 3), (2, 1, 2, 3), (3, 1, 1, 3), (9, 1, 9, 3), (10, 10, 10, 2), (11, 10, 11, 2)]
+
+
+def test_long_runs_are_cut_where_no_rule_reaches(spark, monkeypatch):
+    for cp in range(0x80, 0x30000):
+        if unicodedata.category(chr(cp)) in ("Lu", "Ll", "Lo") and "HANGUL" not in unicodedata.name(chr(cp), ""):
+            out = L.replacement(cp)
+            assert out and not unicodedata.combining(out[0]) and not L.VOWELS[0] <= ord(out[0]) <= L.TAILS[1], ascii(chr(cp))
+    rng = random.Random(5)
+    marks = "\u0301\u0323\u0308\u031b\u200b\u00ad\u3099"
+    letters = ["\u0430\u0435\u044f\u0439", "\u6f22\u5b57\u304b\u30cf\uff8a\uff9e", "\u1100\u1161\u11a8\uac00\uac01\u3131\uffa1", "e\u00e9\u1ec7o\n\r", "\u0e01\u0e33\u0e48\u0939\u093c\u094d"]
+    texts = ["".join(rng.choice(marks) if rng.random() < 0.3 else rng.choice(rng.choice(letters[: 1 + i % 5])) for _ in range(rng.randint(60, 400))) for i in range(300)]
+    texts += ["\uac00" * 30_000, "\u00e9" + "\u200b" * 30_000 + "\u0301", "\u6f22" * 31 + "\u304b\u3099\u6f22"]
+    want = [*map(plain, texts)]
+    assert forms(spark, texts) == want
+    monkeypatch.setattr(L, "FORMS_LIMIT", 0)  # forms that are too large to be broadcast
+    assert forms(spark, texts) == want
+
+
+def test_what_a_task_holds_does_not_grow_with_the_files(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(L, "STRETCHES", 1_000)
+    monkeypatch.setattr(L, "POINTS", 1_000)
+    exploded = []
+    made = L._stretch_forms
+    monkeypatch.setattr(L, "_stretch_forms", lambda s, points, letters: exploded.append(points) or made(s, points, letters))
+    df = spark.range(2_000).select(F.col("id").alias("n"), F.repeat(F.lit("caf\u00e9 \u00fcber "), 20).alias("text")).coalesce(1)  # 80,000 stretches in one split
+    parts = L.unify(df, "n").groupBy(F.spark_partition_id()).count()
+    assert parts.count() > 60 and parts.agg(F.max("count")).first()[0] < 100
+    assert exploded == [4]  # f\u00e9 and a blank with \u00fc, once each
